@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetable.operators.ordered import exact_median, int_block, ordered_scan
+from kinetable.operators.ordered import exact_median, int_block
 
 VIDEO = ("dataset_key", "episode_index", "camera")
+FRAMES_PER_BLOCK = 16_384
 # fixed values: smallest delta, MAD multiple, largest share of spiking tiles
 MIN_TILE_DELTA = 12.0
 MAD_MULTIPLE = 8.0
@@ -28,14 +29,23 @@ def is_flicker_camera(camera: Column, dtype: Column) -> Column:
 
 
 def frame_delta(tiles: DataFrame, keys: Sequence[str] = VIDEO) -> DataFrame:
-    """Absolute change of each tile since the previous frame, in single precision."""
-    slim = tiles.select(*keys, "tile", "frame_no", F.col("luminance").cast("float").alias("luminance"))
-    before = ordered_scan(
-        slim, keys=[*keys, "tile"], order=["frame_no"], block=int_block("frame_no"),
-        carries={"_before": F.col("luminance")},
+    """Absolute change of each tile since the previous frame, in single precision.
+
+    A long video is cut into blocks of frames; the last frame of a block is
+    repeated at the head of the next, so every frame meets its predecessor.
+    """
+    here = int_block("frame_no", FRAMES_PER_BLOCK)
+    closes = F.col("frame_no") % FRAMES_PER_BLOCK == FRAMES_PER_BLOCK - 1
+    rows = tiles.select(
+        *keys, "tile", "frame_no", F.col("luminance").cast("float").alias("luminance"),
+        F.explode(F.when(closes, F.array(here, here + 1)).otherwise(F.array(here))).alias("_block"),
+    ).withColumn("_own", F.col("_block") == here)
+    order = Window.partitionBy(*keys, "tile", "_block").orderBy("frame_no")
+    return (
+        rows.withColumn("_before", F.lag("luminance").over(order))
+        .where(F.col("_own") & F.col("_before").isNotNull())
+        .select(*keys, "frame_no", "tile", F.abs(F.col("luminance") - F.col("_before")).alias("delta"))
     )
-    return before.where(F.col("_before").isNotNull()).select(
-        *keys, "frame_no", "tile", F.abs(F.col("luminance") - F.col("_before")).alias("delta"))
 
 
 def flicker_threshold(deltas: DataFrame, keys: Sequence[str] = VIDEO) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,17 +47,20 @@ def series_columns(features: Mapping[str, str], schema: T.StructType) -> tuple[l
     )
 
 
+def _element_of(name: str, alone: Column) -> Callable[[Column, Column], Column]:
+    """(series, value) of a vector element; an only element keeps the column's name."""
+    indexed = lambda i: F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]"))
+    return lambda v, i: F.struct(
+        F.when(alone, F.lit(name)).otherwise(indexed(i)).alias("series"), v.cast("double").alias("value"))
+
+
 def _entries(df: DataFrame, columns: Sequence[str]) -> Column:
     """Array of (series, value) of one frame over scalar and vector columns."""
     parts = []
     for name in columns:
         col, dtype = F.col(f"`{name}`"), df.schema[name].dataType
         if isinstance(dtype, T.ArrayType):
-            single = F.size(col) == 1
-            parts.append(F.transform(col, lambda v, i, n=name, one=single: F.struct(
-                F.when(one, F.lit(n)).otherwise(
-                    F.concat(F.lit(f"{n}["), i.cast("string"), F.lit("]"))).alias("series"),
-                v.cast("double").alias("value"))))
+            parts.append(F.transform(col, _element_of(name, F.size(col) == 1)))
         else:
             parts.append(F.array(F.struct(F.lit(name).alias("series"), col.cast("double").alias("value"))))
     return F.concat(*parts) if len(parts) > 1 else parts[0]

@@ -82,7 +82,7 @@ def ordered_scan(
         n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_b_{n}")) for n in (*carries, *with_current)
     }
     joined = rows.join(blocks, part, "left").withColumns(result)
-    return joined.select(*[c for c in df.columns if c not in result], *result)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c not in result], *result)
 
 
 def row_position(
@@ -111,64 +111,57 @@ def runs(
     last = F.col(end) if end else F.col(pos)
     base = df.select(*keys, F.col(pos).alias("_s"), last.alias("_e"), F.col(label).alias("_lab"))
     base = base.withColumn(_BLOCK, int_block("_s", rows_per_block))
-    inside = Window.partitionBy(*keys, _BLOCK).orderBy("_s")
-    joins_previous = (
-        (F.lag("_lab").over(inside) == F.col("_lab")) & (F.lag("_e").over(inside) + 1 == F.col("_s"))
-    )
-    pieces = (
-        base.withColumn("_new", F.when(joins_previous, 0).otherwise(1))
-        .withColumn("_piece", F.sum("_new").over(inside))
-        .groupBy(*keys, _BLOCK, "_piece")
-        .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.first("_lab").alias("_lab"))
-        .drop(_BLOCK, "_piece")
-    )
-    previous = ordered_scan(
-        pieces,
-        keys=keys,
-        order=["_s"],
-        block=int_block("_s", rows_per_block),
-        carries={"_before": F.struct("_e", "_lab")},
-    )
-    is_start = ~F.coalesce(
-        (F.col("_before._lab") == F.col("_lab")) & (F.col("_before._e") + 1 == F.col("_s")),
-        F.lit(False),
-    )
-    started = ordered_scan(
-        previous.withColumn("_first", F.when(is_start, F.col("_s"))).drop("_before"),
-        keys=keys,
-        order=["_s"],
-        block=int_block("_s", rows_per_block),
-        carries_with_current={"_start": F.col("_first")},
-    )
+    pieces = _merge_touching(base, [*keys, _BLOCK])
+    # only the outer pieces of a block can go on in another block; inner ones
+    # are done and stay where they are
+    inside = Window.partitionBy(*keys, _BLOCK)
+    outer = (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(inside))
+    sorted_out = pieces.withColumn("_group", F.when(outer, -1).otherwise(F.col(_BLOCK)))
+    merged = _merge_touching(sorted_out.drop(_BLOCK, "_run"), [*keys, "_group"])
+    return merged.select(
+        *keys, F.col("_s").alias("start"), F.col("_e").alias("end"), F.col("_lab").alias(label))
+
+
+def _merge_touching(df: DataFrame, part: list[str]) -> DataFrame:
+    """Merge neighbours inside each part; ``_run`` numbers the results from 1."""
+    order = Window.partitionBy(*part).orderBy("_s")
+    goes_on = (F.lag("_lab").over(order) == F.col("_lab")) & (F.lag("_e").over(order) + 1 == F.col("_s"))
     return (
-        started.groupBy(*keys, F.col("_start").alias("start"))
-        .agg(F.max("_e").alias("end"), F.first("_lab").alias(label))
+        df.withColumn("_new", F.when(goes_on, 0).otherwise(1))
+        .withColumn("_run", F.sum("_new").over(order))
+        .groupBy(*part, "_run")
+        .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.first("_lab").alias("_lab"))
     )
 
 
-def exact_median(
-    df: DataFrame, *, keys: Sequence[str], value: str, out: str, bucket_width: float = 0.25
-) -> DataFrame:
-    """Exact median per key, the two middle values averaged when the count is even.
+def exact_median(df: DataFrame, *, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Exact median of non-negative values per key, the two middle ones averaged.
 
-    Equal values are counted first, so a key of any size becomes its distinct
-    values, spread over tasks by value.
+    Values are first counted in narrow buckets; only those of the buckets that
+    hold the middle are then ranked, equal ones counted together. No task sees
+    all values of a key.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    ranked = ordered_scan(
-        counts,
-        keys=keys,
-        order=[value],
-        block=F.floor(F.col(value) / F.lit(bucket_width)),
-        totals={"_below": F.col("_n")},
-    )
-    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    low = F.floor((F.col("_total") - 1) / 2)
-    high = F.floor(F.col("_total") / 2)
+    keys = list(keys)
+    v = F.col(value)
+    # 1024 buckets for each doubling, so a bucket holds few distinct values
+    bucket = F.when(v > 0, F.floor(F.log2(v) * 1024)).otherwise(F.lit(-(2**40)))
+    rows = df.where(v.isNotNull()).select(*keys, v.alias("_v"), bucket.alias("_bucket"))
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    along = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumns({
+        "_below": F.coalesce(F.sum("_n").over(along), F.lit(0)),
+        "_total": F.sum("_n").over(Window.partitionBy(*keys)),
+    })
+    middle = placed.where(_holds_middle()).select(*keys, "_bucket", "_below", "_total")
+    values = rows.join(middle, [*keys, "_bucket"]).groupBy(*keys, "_bucket", "_below", "_total", "_v").agg(
+        F.count("*").alias("_n"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = values.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    return ranked.where(_holds_middle()).groupBy(*keys).agg(
+        ((F.min("_v") + F.max("_v")) / 2).alias(out))
+
+
+def _holds_middle() -> Column:
+    """Whether ranks ``_below`` to ``_below + _n - 1`` hold a middle rank of ``_total``."""
     holds = lambda rank: (F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_n"))
-    return (
-        ranked.join(sizes, list(keys))
-        .where(holds(low) | holds(high))
-        .groupBy(*keys)
-        .agg(((F.min(value) + F.max(value)) / 2).alias(out))
-    )
+    return holds(F.floor((F.col("_total") - 1) / 2)) | holds(F.floor(F.col("_total") / 2))

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from kinetable.plans import episode_queries  # noqa: F401
+from kinetable.plans import episode_queries, frame_queries  # noqa: F401
 from kinetable.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -65,26 +65,21 @@ SELECT 'rig' || (user_id % 10) AS dataset_key, user_id AS episode_index, event_i
   event_id AS index, event_id / 30.0 AS timestamp, CAST(value / 490.0 AS FLOAT) AS left_arm,
   CAST((event_id * 37 % 100) / 100.0 AS FLOAT) AS right_arm FROM events""",
     "vectors": """
-SELECT 'emb' AS dataset_key, CAST(label AS BIGINT) AS episode_index,
-  row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_index, vec_id, embedding FROM embeddings""",
+SELECT 'emb' || (vec_id // 200) AS dataset_key, vec_id // 50 AS episode_index, vec_id % 50 AS frame_index,
+  vec_id, embedding FROM embeddings""",
     "tiles": """
 SELECT dataset_key, episode_index, 'observation.images.cam_head' AS camera, frame_index AS frame_no, t AS tile,
   CAST(CAST(embedding[t + 1] AS DOUBLE) * 100 + CASE WHEN vec_id % 17 = 3 AND t < 3 THEN 400 ELSE 0 END AS FLOAT) AS luminance
 FROM vectors, range(16) r(t)""",
     "range_episodes": """
-SELECT dataset_key, episode_index, length,
+SELECT dataset_key, episode_index, length, q % 3 AS task_index, q // 1000 AS chunk_index, q % 1000 AS file_index,
   CAST(sum(length) OVER (PARTITION BY dataset_key ORDER BY episode_index) - length AS BIGINT) AS dataset_from_index,
   CAST(sum(length) OVER (PARTITION BY dataset_key ORDER BY episode_index) AS BIGINT) AS dataset_to_index
-FROM (SELECT 'ds' || (o_custkey % 8) AS dataset_key, o_orderkey AS episode_index, count(*) AS length
-      FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)""",
+FROM (SELECT 'ds' || (o_orderkey % 8) AS dataset_key, o_orderkey AS episode_index, o_orderkey // 8 AS q,
+        o_orderkey // 8 % 4 + 1 AS length FROM orders)""",
     "range_frames": """
-SELECT 'ds' || (o_custkey % 8) AS dataset_key, o_orderkey AS episode_index,
-  row_number() OVER (PARTITION BY o_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity,
-    l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS frame_index,
-  row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY o_orderkey, l_partkey, l_suppkey, l_linenumber,
-    l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS index,
-  o_orderkey % 3 AS task_index
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
+SELECT dataset_key, episode_index, task_index, dataset_from_index + k AS index, k AS frame_index
+FROM (SELECT *, unnest(range(length)) AS k FROM range_episodes)""",
     "registry": """
 SELECT CAST(c_custkey AS VARCHAR) AS dataset_key, c_name AS name,
   '/reg/' || n_name || '/' || c_custkey AS path, n_name AS cell_name, c_mktsegment AS robot_type,

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetable.operators.annotations import annotation_by_index, first_serial_owner
-from kinetable.operators.ordered import int_block, ordered_scan, row_position
 from kinetable.settings import prepare
 from kinetable.sources.datasets import read_shards
 
@@ -179,14 +178,10 @@ class Shapes:
     @cached_property
     def vectors(self) -> DataFrame:
         """Embedding halves as observation and action of an episode's frames."""
-        rows = self.table("embeddings").select(
-            F.lit("emb").alias("dataset_key"), F.col("label").cast("bigint").alias("episode_index"),
-            "vec_id", "embedding")
-        placed = row_position(
-            rows, keys=["dataset_key", "episode_index"], order=["vec_id"], block=int_block("vec_id"),
-            out="frame_index")
-        return placed.select(
-            "dataset_key", "episode_index", "frame_index", "vec_id",
+        i = F.col("vec_id")
+        return self.table("embeddings").select(
+            F.concat(F.lit("emb"), F.floor(i / 200)).alias("dataset_key"),
+            F.floor(i / 50).alias("episode_index"), (i % 50).alias("frame_index"), "vec_id",
             F.slice("embedding", 1, 32).alias("observation.state"),
             F.slice("embedding", 33, 32).alias("action"))
 
@@ -205,30 +200,26 @@ class Shapes:
 
     @cached_property
     def range_episodes(self) -> DataFrame:
-        lines = self.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-            F.count("*").alias("length"))
-        rows = self.table("orders").select("o_orderkey", "o_custkey").join(lines, "o_orderkey").select(
-            F.concat(F.lit("ds"), F.col("o_custkey") % 8).alias("dataset_key"),
-            F.col("o_orderkey").alias("episode_index"), "length")
-        scanned = ordered_scan(
-            rows, keys=["dataset_key"], order=["episode_index"], block=int_block("episode_index"),
-            totals={"dataset_from_index": F.col("length")})
-        return scanned.withColumn("dataset_to_index", F.col("dataset_from_index") + F.col("length"))
+        """Orders as episodes of 1 to 4 frames, laid end to end in eight datasets."""
+        i = F.col("o_orderkey")
+        q = F.floor(i / 8)
+        start = F.floor(q / 4) * 10 + (q % 4) * (q % 4 + 1) / 2
+        return self.table("orders").select(
+            F.concat(F.lit("ds"), i % 8).alias("dataset_key"), i.alias("episode_index"),
+            (q % 4 + 1).alias("length"), start.cast("bigint").alias("dataset_from_index"),
+            (start + q % 4 + 1).cast("bigint").alias("dataset_to_index"),
+            (q % 3).alias("task_index"),
+            F.floor(q / 1000).alias("data/chunk_index"), (q % 1000).alias("data/file_index"))
 
     @cached_property
     def range_frames(self) -> DataFrame:
-        """One frame per line item; its order's range says where it stands in the dataset."""
-        order = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-                 "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-        placed = row_position(
-            self.table("lineitem"), keys=["l_orderkey"], order=order, block=int_block("l_partkey"),
-            out="_p")
-        starts = self.range_episodes.select(
-            "dataset_key", F.col("episode_index").alias("l_orderkey"), "dataset_from_index")
-        return placed.join(starts, "l_orderkey").select(
-            "dataset_key", F.col("l_orderkey").alias("episode_index"),
-            F.col("_p").alias("frame_index"), (F.col("dataset_from_index") + F.col("_p")).alias("index"),
-            (F.col("l_orderkey") % 3).alias("task_index"), (F.col("_p") / 30.0).alias("timestamp"))
+        return self.range_episodes.select(
+            "dataset_key", "episode_index", "task_index", "dataset_from_index",
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1)).alias("frame_index"),
+        ).select(
+            "dataset_key", "episode_index", "task_index", "frame_index",
+            (F.col("dataset_from_index") + F.col("frame_index")).alias("index"),
+            (F.col("frame_index") / 30.0).alias("timestamp"))
 
     # --- registry and jobs -----------------------------------------------------
 
