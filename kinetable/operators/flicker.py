@@ -126,9 +126,10 @@ def flicker_scan(
         .when(F.col("error").isNotNull(), F.format_string(
             "episode %d: cannot decode %s: %s", "episode_index", "camera", "error")),
     })
-    first = rows.groupBy("dataset_key", "episode_index").agg(
-        F.min(F.when(F.col("matched"), F.col("rank"))).alias("_first"))
-    return rows.join(first, ["dataset_key", "episode_index"]).where(
+    # a group here is the few cameras of one episode
+    episode = Window.partitionBy("dataset_key", "episode_index")
+    first = F.min(F.when(F.col("matched"), F.col("rank"))).over(episode)
+    return rows.withColumn("_first", first).where(
         F.col("_first").isNull() | (F.col("rank") <= F.col("_first"))
     ).select(*VIDEO, "rank", "matched", "warning")
 

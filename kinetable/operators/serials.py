@@ -113,7 +113,7 @@ def reason_reattach(renamed: DataFrame, old_annotations: DataFrame) -> DataFrame
     return graded.join(heirs.drop("Serial_number"), list(EP), "left").select(
         *EP, F.col("new_serial").alias("serial_number"), "grade",
         F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
-        F.col("_reason").alias("reason"), "Serial_number",
+        F.col("_reason").alias("reason"), F.col("Serial_number").alias("old_serial"),
     )
 
 
@@ -123,7 +123,7 @@ def reattach_counts(new: DataFrame, old_annotations: DataFrame, bridge: DataFram
         old_annotations.where(F.coalesce(F.col("reason") != "", F.lit(False))).select("serial_number"),
         "serial_number", "left_semi").select("dataset_key", "serial_number")
     found = new.where(F.col("reason").isNotNull()).select(
-        "dataset_key", F.col("Serial_number").alias("serial_number")).distinct().withColumn(
+        "dataset_key", F.col("old_serial").alias("serial_number")).distinct().withColumn(
         "_found", F.lit(True))
     return owned.join(found, ["dataset_key", "serial_number"], "left").groupBy("dataset_key").agg(
         F.count_if("_found").alias("recovered"), F.count_if(F.col("_found").isNull()).alias("orphaned"))

@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from kinetable.plans import episode_queries, frame_queries  # noqa: F401
+from kinetable.plans import (  # noqa: F401
+    conversion_queries, dataset_queries, episode_queries, frame_queries,
+)
 from kinetable.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
