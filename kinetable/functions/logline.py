@@ -34,15 +34,19 @@ def _event(kind: Column | str, ts: Column, **fields: Column) -> Column:
     ])
 
 
-def parse_log_line(line: Column) -> Column:
-    """Event struct of a log line, NULL for noise and lines that are no events."""
+def log_prefix(line: Column) -> Column:
+    """Time, level and message of a log line, NULL for noise and lines without them."""
     part = lambda i: F.regexp_extract(line, PREFIX, i)
-    ts, level, msg = part(1), part(2), F.trim(part(3))
-    got = lambda pattern, i: F.regexp_extract(msg, pattern, i)
     skipped = (F.trim(line) == "") | line.rlike(NOISE) | line.rlike(CONTINUATION)
+    return F.when(~skipped & line.rlike(PREFIX), F.struct(
+        part(1).alias("ts"), part(2).alias("level"), F.trim(part(3)).alias("msg")))
+
+
+def log_event(ts: Column, level: Column, msg: Column) -> Column:
+    """Event struct of a log message, NULL when it is no event."""
+    got = lambda pattern, i: F.regexp_extract(msg, pattern, i)
     return (
-        F.when(skipped | ~line.rlike(PREFIX), None)
-        .when(msg.rlike(CONVERTED), _event(
+        F.when(msg.rlike(CONVERTED), _event(
             "converted", ts, recording=got(CONVERTED, 1), frames=got(CONVERTED, 2),
             duration=F.nullif(got(CONVERTED, 3), F.lit("")).try_cast("double"),
         ))

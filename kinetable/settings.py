@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_SETTINGS = {
     # Parquet timestamps carry no zone.
@@ -23,3 +25,28 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in SESSION_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that every executor sees, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="kinetable-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write an intermediate table once, so the steps that share it do not redo it.
+
+    It lands in the shared folder, where it outlives lost executors.
+    """
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

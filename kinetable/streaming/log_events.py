@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kinetable.functions.logline import parse_log_line
+from kinetable.functions.logline import log_event, log_prefix
 
 
 def log_events(lines: DataFrame, column: str = "value") -> DataFrame:
     """Typed events of log lines; noise and unparseable lines are dropped.
 
-    Works on a batch table and on a stream alike.
+    Works on a batch table and on a stream alike. Each step is an ``inline`` of
+    at most one struct, so the patterns run once per line however many of the
+    fields, or filters on them, are used later.
     """
     keep = [c for c in lines.columns if c != column]
-    return (
-        lines.withColumn("_e", parse_log_line(F.col(column)))
-        .where(F.col("_e").isNotNull())
-        .select(*keep, "_e.*")
-    )
+    some = lambda struct: F.inline(F.filter(F.array(struct), lambda e: e.isNotNull()))
+    parts = lines.select(*keep, some(log_prefix(F.col(column))).alias("_ts", "_level", "_msg"))
+    return parts.select(*keep, some(log_event(F.col("_ts"), F.col("_level"), F.col("_msg"))))
 
 
 def source_log_stream(spark: SparkSession, folder: str) -> DataFrame:

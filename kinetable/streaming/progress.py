@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from kinetable.functions.serials import serial_from_recording, task_from_recording
 from kinetable.operators.ordered import int_block, ordered_scan
+from kinetable.settings import checkpointed
 
 FLASH_MS = 500
 LIVE_SCHEMA = (
@@ -65,7 +66,7 @@ def displaced_tasks(events: DataFrame) -> DataFrame:
 
 def live_progress(events: DataFrame, log: str = "log", pos: str = "line_no") -> DataFrame:
     """State of every task after all events of its log, in order of position."""
-    own = task_events(events, log, pos)
+    own = checkpointed(task_events(events, log, pos))
     rows = own.unionByName(displaced_tasks(own), allowMissingColumns=True)
     at = lambda *kinds: F.max(F.when(F.col("type").isin(*kinds), F.col("pos")))
     payload = lambda kind, *cols: F.max_by(
