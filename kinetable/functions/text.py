@@ -43,6 +43,5 @@ def value_label(column: Column, dtype: T.DataType) -> Column:
 
 
 def one_decimal(value: Column) -> Column:
-    """One decimal, half to even on the exact binary value."""
-    scaled = F.bround(value.cast("decimal(38,18)"), 1)
-    return F.format_string("%.1f", scaled)
+    """One decimal, ties to the even digit."""
+    return F.bround(value.cast("decimal(38,18)"), 1).cast("decimal(38,1)").cast("string")

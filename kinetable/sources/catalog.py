@@ -31,7 +31,7 @@ def parse_info(info: DataFrame) -> DataFrame:
     Expects ``dataset_path`` and ``info_text``. Scalar system keys become columns,
     features a map, and every other key goes into ``custom`` as text.
     """
-    text = F.rtrim(F.lit("\u0000"), F.col("info_text"))
+    text = F.rtrim("info_text", F.lit("\u0000"))
     fields = F.from_json(text, "map<string,string>")
     features = F.from_json(fields["features"], T.MapType(T.StringType(), FEATURE))
     return (

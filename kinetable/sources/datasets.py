@@ -29,13 +29,15 @@ def path_exists(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_shards(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Read Parquet shards whose columns may differ; missing ones become NULL.
+def read_shards(spark: SparkSession, paths: Sequence[str], merge: bool = False) -> DataFrame:
+    """Read Parquet paths whose columns may differ; missing ones become NULL.
 
-    One path, or several of one schema, is a single scan. Differing integer and
+    One path is a single scan with the columns of its first file, or of all its
+    files with ``merge``, which opens every footer once. Differing integer and
     floating widths are widened before the union.
     """
-    frames = [spark.read.option("mergeSchema", "true").parquet(path) for path in paths]
+    option = "true" if merge else "false"
+    frames = [spark.read.option("mergeSchema", option).parquet(path) for path in paths]
     result = frames[0]
     for frame in frames[1:]:
         result = union_widened(result, frame)

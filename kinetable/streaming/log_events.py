@@ -13,13 +13,15 @@ def log_events(lines: DataFrame, column: str = "value") -> DataFrame:
     """Typed events of log lines; noise and unparseable lines are dropped.
 
     Works on a batch table and on a stream alike. Each step is an ``inline`` of
-    at most one struct, so the patterns run once per line however many of the
+    one struct, so the patterns run once per line however many of the
     fields, or filters on them, are used later.
     """
     keep = [c for c in lines.columns if c != column]
-    some = lambda struct: F.inline(F.filter(F.array(struct), lambda e: e.isNotNull()))
-    parts = lines.select(*keep, some(log_prefix(F.col(column))).alias("_ts", "_level", "_msg"))
-    return parts.select(*keep, some(log_event(F.col("_ts"), F.col("_level"), F.col("_msg"))))
+    once = lambda struct: F.inline(F.array(struct))
+    parts = lines.select(*keep, once(log_prefix(F.col(column))).alias("_ts", "_level", "_msg"))
+    events = parts.where(F.col("_ts").isNotNull()).select(
+        *keep, once(log_event(F.col("_ts"), F.col("_level"), F.col("_msg"))))
+    return events.where(F.col("type").isNotNull())
 
 
 def source_log_stream(spark: SparkSession, folder: str) -> DataFrame:

@@ -213,7 +213,7 @@ def progress_fields(events: DataFrame) -> DataFrame:
             F.struct(F.lit(f).alias("field"), F.col(c).cast("string").alias("value"))
             for f, c in mapping.items()])
         entries = F.when(kind == name, values).otherwise(entries)
-    return events.withColumn("_set", entries).where(F.col("_set").isNotNull()).drop("type")
+    return events.withColumn("_set", entries)
 
 
 def job_progress_fold(events: DataFrame, log: str = "log", pos: str = "line_no") -> DataFrame:
