@@ -28,18 +28,24 @@ def gripper_event(value: Column, closed: float = CLOSED, opened: float = OPEN) -
     return F.when(F.isnan(v), None).when(v < limit(closed), "c").when(v > limit(opened), "o")
 
 
+def _arms(frames: DataFrame, left: Column | None, right: Column | None) -> tuple[Column, Column]:
+    """Gripper readings of both arms, from the state vector unless given."""
+    state = F.col("`observation.state`") if "observation.state" in frames.columns else F.lit(None)
+    return (
+        (F.get(state, F.lit(LEFT_GRIPPER)) if left is None else left).alias("_l"),
+        (F.get(state, F.lit(RIGHT_GRIPPER)) if right is None else right).alias("_r"),
+    )
+
+
 def cycle_ends(
     frames: DataFrame, *, left: Column | None = None, right: Column | None = None,
     order: Sequence[str] = ("frame_index",), keys: Sequence[str] = EP,
     closed: float = CLOSED, opened: float = OPEN,
 ) -> DataFrame:
     """Add ``is_cycle_end``: a gripper opens after its last event was closing, on either arm."""
-    state = F.col("`observation.state`") if "observation.state" in frames.columns else None
-    arms = {
-        "_left": left if left is not None else F.get(state, F.lit(LEFT_GRIPPER)),
-        "_right": right if right is not None else F.get(state, F.lit(RIGHT_GRIPPER)),
-    }
-    events = frames.withColumns({n: gripper_event(v, closed, opened) for n, v in arms.items()})
+    one, other = _arms(frames, left, right)
+    events = frames.withColumns({
+        "_left": gripper_event(one, closed, opened), "_right": gripper_event(other, closed, opened)})
     seen = ordered_scan(
         events, keys=list(keys), order=list(order), block=int_block("frame_index"),
         carries={"_left_before": F.col("_left"), "_right_before": F.col("_right")},
@@ -52,23 +58,31 @@ def cycle_ends(
 
 def stamp_cycles(
     frames: DataFrame, *, overwrite: bool = False,
-    order: Sequence[str] = ("frame_index", "shard_path", "shard_row"), **options,
+    order: Sequence[str] = ("frame_index", "shard_path", "shard_row"),
+    left: Column | None = None, right: Column | None = None,
+    closed: float = CLOSED, opened: float = OPEN,
 ) -> DataFrame:
     """Frames with ``is_terminal`` and ``is_last`` appended.
 
     Frames of an episode are ordered across shards; rows sharing a frame index
-    keep their physical order. Stamped input is refused unless overwritten.
+    keep their physical order, and ``order`` names one row of an episode. Stamped
+    input is refused unless overwritten. Only the gripper readings are sorted;
+    the frames themselves meet the few stamped rows in one join.
     """
     if set(STAMPS) & set(frames.columns) and not overwrite:
         raise ValueError("already_stamped")
     bare = frames.drop(*STAMPS)
-    marked = cycle_ends(bare, order=order, **options)
-    last = bare.groupBy(*EP).agg(F.max(F.struct(*order)).alias("_last"))
-    return (
-        marked.join(last, list(EP))
-        .withColumns({"is_terminal": F.col("is_cycle_end"), "is_last": F.struct(*order) == F.col("_last")})
-        .drop("is_cycle_end", "_last")
-    )
+    slim = bare.select(*EP, *order, *_arms(bare, left, right))
+    marks = cycle_ends(
+        slim, left=F.col("_l"), right=F.col("_r"), order=order, closed=closed, opened=opened
+    ).where("is_cycle_end").select(*EP, *order, F.lit(True).alias("is_terminal"))
+    last = bare.groupBy(*EP).agg(F.max(F.struct(*order)).alias("_last")).select(
+        *EP, "_last.*", F.lit(True).alias("is_last"))
+    row = [*EP, *order]
+    stamps = marks.join(last, row, "full_outer")
+    stamped = bare.join(stamps, row, "left")
+    columns = [F.col(f"`{c}`") for c in bare.columns]
+    return stamped.select(*columns, *[F.coalesce(c, F.lit(False)).alias(c) for c in STAMPS])
 
 
 def stamp_counts(stamped: DataFrame) -> DataFrame:

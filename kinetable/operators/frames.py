@@ -138,10 +138,43 @@ def divergence_bands(
         .select(*keys, pos, level.alias("level"))
         .where(F.col("level").isNotNull())
     )
-    bands = runs(levels, keys=list(keys), pos=pos, label="level")
+    return _merge_bands(levels, list(keys), pos)
+
+
+def _merge_bands(levels: DataFrame, keys: list[str], pos: str) -> DataFrame:
+    """Bands from frame levels: runs, short severe ones softened, runs again."""
+    bands = runs(levels, keys=keys, pos=pos, label="level")
     short = (F.col("level") == "severe") & (F.col("end") - F.col("start") + 1 < MIN_SEVERE_RUN)
     softened = bands.withColumn("level", F.when(short, F.lit("moderate")).otherwise(F.col("level")))
-    return runs(softened, keys=list(keys), pos="start", end="end", label="level")
+    return runs(softened, keys=keys, pos="start", end="end", label="level")
+
+
+def vector_divergence_bands(frames: DataFrame, state: str, action: str, pos: str = "frame_index") -> DataFrame:
+    """The same for one state and one action vector, element i with element i.
+
+    Ranges are aggregated before the shuffle and come back to each frame as one
+    array; only elements that differ enough leave the frame as rows.
+    """
+    spread = lambda c: F.max(c) - F.min(c)
+    # as many entries per episode as the vectors have elements
+    ranges = (
+        pair_vectors(frames, state, action).groupBy(*EP, "key")
+        .agg(F.greatest(spread("obs"), spread("act")).alias("r"))
+        .groupBy(*EP).agg(F.map_from_entries(F.collect_list(F.struct("key", "r"))).alias("_ranges"))
+    )
+    zipped = F.arrays_zip(F.col(f"`{state}`").alias("o"), F.col(f"`{action}`").alias("a"))
+    key = lambda i: F.concat(F.lit("["), i.cast("string"), F.lit("]"))
+    ratio = lambda e: F.abs(e["a"].cast("double") - e["o"].cast("double")) / F.nullif(e["r"], F.lit(0.0))
+    level = lambda x: F.when(x > SEVERE_RATIO, "severe").when(x > MODERATE_RATIO, "moderate")
+    measured = F.transform(zipped, lambda e, i: F.struct(
+        key(i).alias("key"), e["o"].alias("o"), e["a"].alias("a"),
+        F.try_element_at("_ranges", key(i)).alias("r")))
+    marked = F.filter(
+        F.transform(measured, lambda e: F.struct(e["key"].alias("key"), level(ratio(e)).alias("level"))),
+        lambda e: e["level"].isNotNull())
+    levels = frames.select(*EP, pos, F.col(f"`{state}`"), F.col(f"`{action}`")).join(
+        ranges, list(EP)).select(*EP, pos, F.inline(marked))
+    return _merge_bands(levels, [*EP, "key"], pos)
 
 
 def robot_layout(joints: Column, features: Sequence[Mapping[str, object]]) -> Column:

@@ -79,18 +79,20 @@ def reindex_episodes(
 
 
 def reindex_frames(
-    frames: DataFrame, episodes: DataFrame, order: Sequence[str] = ("frame_index",)
+    frames: DataFrame, episodes: DataFrame, order: Sequence[str] = ("frame_index",), dense: bool = False
 ) -> DataFrame:
     """Frames of reindexed episodes with their new episode, frame and dataset-wide index.
 
-    Frames of other episodes are dropped.
+    Frames of other episodes are dropped. Where the frame index already counts
+    from 0 without holes, ``dense`` saves the ordering.
     """
     ids = episodes.select(
         "dataset_key", F.col("old_episode_index").alias("episode_index"),
         F.col("episode_index").alias("_new"), F.col("dataset_from_index").alias("_from"))
-    placed = row_position(
-        semi_select(frames, ids), keys=list(EP), order=list(order), block=int_block(order[0]), out="_p")
-    return placed.join(ids, list(EP)).withColumns({
+    kept = frames.join(ids, list(EP))
+    placed = kept.withColumn("_p", F.col("frame_index")) if dense else row_position(
+        kept, keys=list(EP), order=list(order), block=int_block(order[0]), out="_p")
+    return placed.withColumns({
         "episode_index": F.col("_new"), "frame_index": F.col("_p"),
         "index": F.col("_from") + F.col("_p"),
     }).drop("_new", "_from", "_p")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetable.operators.ordered import int_block, row_position
+from kinetable.settings import checkpointed
 
 EP = ("dataset_key", "episode_index")
 
@@ -122,7 +123,8 @@ def apply_episode_instructions(
 
     Afterwards unused tasks are dropped and the index made dense.
     """
-    wanted = preview.where("action in ('reuse', 'create') and problem is null")
+    # the plan is small and read at every step
+    wanted = checkpointed(preview.where("action in ('reuse', 'create') and problem is null"))
     fresh = wanted.where("action = 'create'").select("dataset_key", F.col("instruction").alias("task")).distinct()
     sizes = tasks.groupBy("dataset_key").agg(F.count("*").alias("_base"))
     # few requests per dataset: a person edits them one by one

@@ -66,13 +66,15 @@ def range_tiling(episodes: DataFrame, totals: DataFrame) -> DataFrame:
 def index_contiguity(frames: DataFrame) -> DataFrame:
     """Whether the frame index of each dataset is 0..n-1 without repeats.
 
-    n distinct values from 0 to n-1 can only be that; distinct values are
-    counted by hash partition, with no global order.
+    n distinct values from 0 to n-1 can only be that. Values are marked in
+    bitmaps of 32,768 bits before the shuffle, so frames themselves do not move.
     """
-    values = frames.groupBy(KEY, "index").agg(F.count("*").alias("n"))
-    return values.groupBy(KEY).agg(
-        F.sum("n").alias("frames"), F.count_if(F.col("n") > 1).alias("repeated"),
-        F.min("index").alias("first"), F.max("index").alias("last"),
+    bits = frames.groupBy(KEY, F.bitmap_bucket_number("index").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("index")).alias("_bits"), F.count("index").alias("_n"),
+        F.min("index").alias("_lo"), F.max("index").alias("_hi"))
+    return bits.groupBy(KEY).agg(
+        F.sum("_n").alias("frames"), (F.sum("_n") - F.sum(F.bitmap_count("_bits"))).alias("repeated"),
+        F.min("_lo").alias("first"), F.max("_hi").alias("last"),
     ).withColumn("contiguous", (F.col("repeated") == 0) & (F.col("first") == 0)
                  & (F.col("last") == F.col("frames") - 1))
 

@@ -80,8 +80,12 @@ GROUP BY dataset_key, episode_index, key, level, g"""
 
 @query(_BANDS)
 def divergence_bands(s: Shapes):
-    pairs = frames.pair_vectors(s.vectors, "observation.state", "action")
-    return frames.divergence_bands(pairs)
+    return frames.vector_divergence_bands(s.vectors, "observation.state", "action")
+
+
+@query(_BANDS, name="divergence_bands_of_pairs")
+def _divergence_of_pairs(s: Shapes):
+    return frames.divergence_bands(frames.pair_vectors(s.vectors, "observation.state", "action"))
 
 
 @query("""SELECT dataset_key, episode_index, frame_index, round(left_arm, 6) AS a, round(right_arm, 6) AS b, 1.0 AS c FROM frames""")

@@ -88,15 +88,16 @@ def _with_position(spark: SparkSession, pattern: str, root: str) -> DataFrame:
 
 
 def scan_frames(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, merge: bool = False
 ) -> DataFrame:
     """Frames of a dataset folder (or of Parquet files), with their physical position.
 
     ``shard_path`` and ``shard_row`` order rows that share a frame index. Only
-    the asked columns are read.
+    the asked columns are read. ``merge`` opens every footer, for shards that
+    differ in their columns, such as partly stamped ones.
     """
     source = path if path.endswith(".parquet") else f"{path.rstrip('/')}/{FRAME_FILES}"
-    df = spark.read.option("mergeSchema", "true").parquet(source)
+    df = read_shards(spark, [source], merge)
     chosen = [F.col(f"`{c}`") for c in (columns or df.columns)]
     return df.select(
         *chosen,
