@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetable.operators.ordered import exact_median, int_block
+from kinetable.settings import checkpointed
 
 VIDEO = ("dataset_key", "episode_index", "camera")
 FRAMES_PER_BLOCK = 16_384
@@ -49,10 +50,13 @@ def frame_delta(tiles: DataFrame, keys: Sequence[str] = VIDEO) -> DataFrame:
 
 
 def flicker_threshold(deltas: DataFrame, keys: Sequence[str] = VIDEO) -> DataFrame:
-    """Median and median absolute deviation of all tile deltas, and the spike threshold."""
+    """Median and median absolute deviation of all tile deltas, and the spike threshold.
+
+    The medians, one row per video, are written before the deviations are ranked.
+    """
     keys = list(keys)
-    median = exact_median(deltas.withColumn("delta", F.col("delta").cast("double")),
-                          keys=keys, value="delta", out="median")
+    median = checkpointed(exact_median(
+        deltas.withColumn("delta", F.col("delta").cast("double")), keys=keys, value="delta", out="median"))
     off = deltas.join(median, keys).withColumn(
         "_off", F.abs(F.col("delta").cast("double") - F.col("median")))
     mad = exact_median(off, keys=keys, value="_off", out="_mad")
@@ -78,10 +82,13 @@ def flicker_spikes(
 def flicker_verdict(
     tiles: DataFrame, tile_count: int = 16, keys: Sequence[str] = VIDEO
 ) -> DataFrame:
-    """One row per video: matched, number of spikes, first and last spike, largest delta."""
+    """One row per video: matched, number of spikes, first and last spike, largest delta.
+
+    Deltas are ranked twice and compared once, so they are written first.
+    """
     keys = list(keys)
-    deltas = frame_delta(tiles, keys)
-    thresholds = flicker_threshold(deltas, keys)
+    deltas = checkpointed(frame_delta(tiles, keys))
+    thresholds = checkpointed(flicker_threshold(deltas, keys))
     found = flicker_spikes(deltas, thresholds, tile_count, keys).groupBy(*keys).agg(
         F.count("*").alias("spike_count"),
         F.min("frame_no").alias("first_spike"), F.max("frame_no").alias("last_spike"))

@@ -28,9 +28,7 @@ def index_range_slice(frames: DataFrame, start: int, stop: int) -> DataFrame:
     if "index" not in frames.columns:
         return by_position
     hits = frames.where((F.col("index") >= start) & (F.col("index") < stop))
-    any_hit = hits.select(F.lit(1).alias("_k")).limit(1)
-    fallback = by_position.withColumn("_k", F.lit(1)).join(any_hit, "_k", "left_anti").drop("_k")
-    return hits.unionByName(fallback)
+    return hits.unionByName(by_position.where(~hits.exists()))
 
 
 def sort_frames(frames: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinetable.functions import playback
 from kinetable.functions.serials import serial_join_key
 from kinetable.operators.ordered import int_block, ordered_scan, row_position
+from kinetable.settings import checkpointed
 
 EP = ("dataset_key", "episode_index")
 CHUNK_SIZE = 1000
@@ -120,7 +121,8 @@ def merge_datasets(
     episodes: DataFrame, tasks: DataFrame, targets: DataFrame
 ) -> DataFrame:
     """Episodes of several datasets as one, in source order, reindexed and with united tasks."""
-    mapped = merged_tasks(tasks, targets).select("dataset_key", "task_index", "new_task_index")
+    mapped = checkpointed(
+        merged_tasks(tasks, targets).select("dataset_key", "task_index", "new_task_index"))
     joined = episodes.join(targets, "dataset_key").join(mapped, ["dataset_key", "task_index"], "left")
     moved = joined.withColumn("task_index", F.coalesce("new_task_index", "task_index")).drop(
         "new_task_index")

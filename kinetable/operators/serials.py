@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kinetable.functions.grades import has_grade
 from kinetable.operators.annotations import first_serial_owner
 from kinetable.operators.ordered import int_block, ordered_scan, row_position
+from kinetable.settings import checkpointed
 
 EP = ("dataset_key", "episode_index")
 
@@ -58,7 +59,7 @@ def unique_serials(episodes: DataFrame) -> DataFrame:
     k free numbers before them: a running count, no loop.
     """
     named = _named(episodes).select(*EP, F.col("Serial_number").alias("serial"))
-    sizes = named.groupBy("dataset_key", "serial").agg(F.count("*").alias("_n"))
+    sizes = checkpointed(named.groupBy("dataset_key", "serial").agg(F.count("*").alias("_n")))
     repeated = sizes.where("_n > 1").select("dataset_key", "serial")
     single = sizes.where("_n = 1").select("dataset_key", "serial")
 
@@ -84,8 +85,9 @@ def unique_serials(episodes: DataFrame) -> DataFrame:
         "dataset_key", "serial", (F.col("_k") + 1).alias("_at"), F.lit(0).alias("_kind"),
         F.lit(0).cast("bigint").alias("_one"), "episode_index",
     )
+    both = checkpointed(members.unionByName(taken))
     counted = ordered_scan(
-        members.unionByName(taken), keys=["dataset_key", "serial"], order=["_at", "_kind", "episode_index"],
+        both, keys=["dataset_key", "serial"], order=["_at", "_kind", "episode_index"],
         block=int_block("_at"), totals={"_before": F.col("_one")},
     ).where("_kind = 0")
     renamed = counted.select(

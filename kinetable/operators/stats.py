@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetable.functions.grades import grade_key, grade_norm, has_grade
@@ -83,14 +83,15 @@ def grade_summary_cards(episodes: DataFrame, catalog: DataFrame) -> DataFrame:
         "dataset_key", "fps",
         F.explode(F.array(*[F.lit(g) for g in (*GRADES, UNGRADED)])).alias("grade_key"),
     )
-    totals = keyed.groupBy("dataset_key").agg(F.sum("count").alias("total"))
     count = F.coalesce("count", F.lit(0).cast("bigint"))
+    total = F.sum(count).over(Window.partitionBy("dataset_key"))  # four cards each
     return (
-        cards.join(keyed, ["dataset_key", "grade_key"], "left").join(totals, "dataset_key")
+        cards.join(keyed, ["dataset_key", "grade_key"], "left").withColumn("total", total)
         .select(
             "dataset_key", "grade_key", count.alias("count"),
             F.coalesce(frames, F.lit(0.0)).alias("seconds"), "total",
-            F.floor(count / F.col("total") * 100 + 0.5).alias("percent"),
+            F.when(F.col("total") > 0, F.floor(count / F.col("total") * 100 + 0.5))
+            .otherwise(F.lit(0).cast("bigint")).alias("percent"),
         )
     )
 

@@ -133,10 +133,10 @@ def apply_episode_instructions(
     ).join(sizes, "dataset_key").select(
         "dataset_key", (F.col("_base") + F.col("_p")).alias("task_index"), "task")
     all_tasks = tasks.select("dataset_key", "task_index", "task").unionByName(added)
-    moves = wanted.join(
+    moves = checkpointed(wanted.join(
         task_text_of(all_tasks).select(
             "dataset_key", F.col("task").alias("instruction"), F.col("task_index").alias("_to")),
-        ["dataset_key", "instruction"]).select(*EP, "_to")
+        ["dataset_key", "instruction"]).select(*EP, "_to"))
     moved = lambda df: df.join(moves, list(EP), "left").withColumn(
         "task_index", F.coalesce("_to", "task_index")).drop("_to")
     return dense_remap(all_tasks, moved(episodes), moved(frames))
@@ -155,7 +155,7 @@ def dense_remap(
     tasks: DataFrame, episodes: DataFrame, frames: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Drop unused tasks and renumber; frames with an unknown index keep it."""
-    mapping = used_task_map(tasks, episodes)
+    mapping = checkpointed(used_task_map(tasks, episodes))
     on = ["dataset_key", "task_index"]
     renumber = lambda df, how: df.join(mapping, on, how).withColumn(
         "task_index", F.coalesce("new_index", "task_index")).drop("new_index")
