@@ -257,8 +257,8 @@ def _unfinished(s: Shapes):
 
 @query("""SELECT cell_task, serial, 'transient' AS status, bool_or(status = 'failed') AS reset,
   CASE WHEN bool_or(status = 'failed') THEN 0 ELSE max(item_no % 5) END AS attempt_count,
-  CASE WHEN bool_or(status = 'failed') THEN 1000.0 ELSE max(item_no) * 1.5 END AS first_failed_at,
-  CASE WHEN bool_or(status = 'failed') THEN 0.0 ELSE max(item_no) * 2.0 END AS next_retry_at,
+  CASE WHEN bool_or(status = 'failed') THEN 1000.0::DOUBLE ELSE max(item_no) * 1.5::DOUBLE END AS first_failed_at,
+  CASE WHEN bool_or(status = 'failed') THEN 0.0::DOUBLE ELSE max(item_no) * 2.0::DOUBLE END AS next_retry_at,
   CASE WHEN bool_or(status = 'failed') THEN 'manual retry requested from UI' ELSE 'timeout' END AS last_error
 FROM serial_status WHERE status IN ('failed', 'transient') GROUP BY cell_task, serial""")
 def retry_all_failed(s: Shapes):
@@ -486,7 +486,7 @@ _EVENTS = """
 SELECT log, line_no, ['converted', 'converted', 'failed', 'converting', 'recording_start', 'recording_start', 'finalizing', 'finalized',
     'scan', 'warning', 'info'][kind + 1] AS type, ts,
   CASE WHEN kind IN (0, 1, 2, 4, 5) THEN task || '/' || serial END AS recording,
-  CASE WHEN kind IN (0, 1) THEN line_no % 900 END AS frames, CASE WHEN kind = 0 THEN u + 0.5 END AS duration,
+  CASE WHEN kind IN (0, 1) THEN line_no % 900 END AS frames, CASE WHEN kind = 0 THEN CAST(u + 0.5 AS DOUBLE) END AS duration,
   CASE WHEN kind = 2 THEN 'E' || (u % 9) END AS error_code, CASE WHEN kind = 2 THEN 'bad topic: ' || event_type END AS reason,
   CASE WHEN kind IN (3, 6, 7) THEN task END AS task, CASE WHEN kind = 3 THEN u % 40 END AS count,
   CASE WHEN kind IN (4, 5) THEN line_no % 7 + 1 END AS index, CASE WHEN kind IN (4, 5) THEN line_no % 7 + 5 END AS total,

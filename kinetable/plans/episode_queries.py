@@ -270,7 +270,7 @@ def task_join(s: Shapes):
 @query("""SELECT dataset_key, episode_index, chunk_index AS data_chunk, file_index AS data_file,
   CASE WHEN episode_index % 4 <> 0 THEN 1 ELSE 0 END + CASE WHEN episode_index % 3 = 0 THEN 1 ELSE 0 END AS cameras,
   CASE WHEN episode_index % 4 <> 0 THEN episode_index // 100 END AS head_chunk,
-  CASE WHEN episode_index % 3 = 0 THEN 0 END AS wrist_file FROM episodes""")
+  CASE WHEN episode_index % 3 = 0 THEN 0::BIGINT END AS wrist_file FROM episodes""")
 def episode_file_location(s: Shapes):
     out = ep.episode_file_location(s.stored_episodes)
     entry = lambda camera, field: F.try_element_at("videos", F.lit(camera))[field]
@@ -514,7 +514,7 @@ def keys_and_slugs(s: Shapes):
         text.dataset_key(rec).alias("dataset_key"), text.raw_dataset_key(rec).alias("raw_key"))
 
 
-@query("""SELECT dataset_key, episode_index, to_json(coalesce(tags, CAST([] AS VARCHAR[]))) AS tags_json,
+@query("""SELECT dataset_key, episode_index, CAST(to_json(coalesce(tags, CAST([] AS VARCHAR[]))) AS VARCHAR) AS tags_json,
   array_to_string(coalesce(tags, CAST([] AS VARCHAR[])), '|') AS tags FROM episodes""")
 def tags_json(s: Shapes):
     rows = s.episodes.select(*EP, text.tags_to_json(F.col("tags")).alias("tags_json"))

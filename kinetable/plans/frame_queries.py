@@ -46,8 +46,8 @@ def pair_state_action(s: Shapes):
 
 @query("""SELECT dataset_key, episode_index, frame_index, key, round(obs, 6) AS obs, round(act, 6) AS act FROM (
   SELECT dataset_key, episode_index, frame_index, key,
-    CASE key WHEN 'left' THEN left_arm WHEN 'right' THEN right_arm END AS obs,
-    CASE key WHEN 'left' THEN right_arm WHEN 'right' THEN left_arm END AS act
+    CAST(CASE key WHEN 'left' THEN left_arm WHEN 'right' THEN right_arm END AS DOUBLE) AS obs,
+    CAST(CASE key WHEN 'left' THEN right_arm WHEN 'right' THEN left_arm END AS DOUBLE) AS act
   FROM frames, (VALUES ('left'), ('right')) k(key))""")
 def pair_named_series(s: Shapes):
     state = F.col("`observation.state`")
@@ -88,7 +88,7 @@ def _divergence_of_pairs(s: Shapes):
     return frames.divergence_bands(frames.pair_vectors(s.vectors, "observation.state", "action"))
 
 
-@query("""SELECT dataset_key, episode_index, frame_index, round(left_arm, 6) AS a, round(right_arm, 6) AS b, 1.0 AS c FROM frames""")
+@query("""SELECT dataset_key, episode_index, frame_index, round(left_arm, 6) AS a, round(right_arm, 6) AS b, CAST(1.0 AS FLOAT) AS c FROM frames""")
 def robot_layout(s: Shapes):
     state = F.col("`observation.state`")
     joints = F.create_map(
@@ -167,7 +167,7 @@ spikes AS (SELECT d.dataset_key, d.episode_index, d.camera, d.frame_no, count(*)
   WHERE d.delta > t.threshold GROUP BY ALL HAVING count(*) <= 8)"""
 
 
-@query(f"{_DELTAS} SELECT dataset_key, episode_index, camera, frame_no, tile, round(delta, 4) AS delta FROM deltas")
+@query(f"{_DELTAS} SELECT dataset_key, episode_index, camera, frame_no, CAST(tile AS INTEGER) AS tile, round(delta, 4) AS delta FROM deltas")
 def frame_delta(s: Shapes):
     return flicker.frame_delta(s.tiles).withColumn("delta", F.round("delta", 4))
 

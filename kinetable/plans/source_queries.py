@@ -139,7 +139,7 @@ def info_update(s: Shapes):
     return both.join(removed.select("name", text("custom").alias("removed")), "name")
 
 
-@query(f"""SELECT sha256('/mnt/' || cell_name || '/' || dataset_key)[1:16] AS dataset_key, total_episodes, robot_type, fps, 4 AS feature_count
+@query(f"""SELECT sha256('/mnt/' || cell_name || '/' || dataset_key)[1:16] AS dataset_key, total_episodes, robot_type, fps, 4::BIGINT AS feature_count
 FROM catalog WHERE {_KNOWN}""")
 def dataset_summary(s: Shapes):
     return cat.dataset_summary(_catalog(s))

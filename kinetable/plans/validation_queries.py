@@ -164,7 +164,7 @@ def full_validate(s: Shapes):
     return val.full_validate(tables(s))
 
 
-@query(f"""{_FACTS} SELECT dataset_key, 21 AS rules, CASE WHEN dataset_key = 'ds4' THEN 2 + CASE WHEN range_end <> data_rows THEN 1 ELSE 0 END
+@query(f"""{_FACTS} SELECT dataset_key, 21::BIGINT AS rules, CASE WHEN dataset_key = 'ds4' THEN 2::BIGINT + CASE WHEN range_end <> data_rows THEN 1 ELSE 0 END
   WHEN problem IS NULL THEN 0 ELSE 1 END AS failed FROM quick""")
 def quick_rules(s: Shapes):
     return val.quick_rules(tables(s)).groupBy("dataset_key").agg(

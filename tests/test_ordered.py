@@ -84,3 +84,19 @@ def test_exact_median_equals_statistics_median(spark):
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
     got = {r.k: r.m for r in ordered.exact_median(df, keys=["k"], value="v", out="m").collect()}
     assert got == {k: statistics.median(vs) for k, vs in groups.items()}
+
+
+def test_a_hot_key_is_spread_over_tasks(spark):
+    """One key with all rows: as planned, no task may hold more than a small share of them."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = spark.range(20_000).select(F.lit("hot").alias("k"), F.col("id").alias("i"))
+        out = ordered.row_position(df, keys=["k"], order=["i"], block=ordered.int_block("i", 100), out="p")
+        shares = out.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in shares) < 20_000 / 4 and sum(r["count"] for r in shares) == 20_000
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
