@@ -95,8 +95,9 @@ def test_a_hot_key_is_spread_over_tasks(spark):
     try:
         df = spark.range(20_000).select(F.lit("hot").alias("k"), F.col("id").alias("i"))
         out = ordered.row_position(df, keys=["k"], order=["i"], block=ordered.int_block("i", 100), out="p")
-        shares = out.groupBy(F.spark_partition_id()).count().collect()
-        assert max(r["count"] for r in shares) < 20_000 / 4 and sum(r["count"] for r in shares) == 20_000
+        shares = out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("p").alias("s")).collect()
+        assert max(r.n for r in shares) < 20_000 / 4
+        assert sum(r.n for r in shares) == 20_000 and sum(r.s for r in shares) == 20_000 * 19_999 / 2
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
