@@ -19,13 +19,13 @@ STAMPS = ("is_terminal", "is_last")
 
 
 def gripper_event(value: Column, closed: float = CLOSED, opened: float = OPEN) -> Column:
-    """'c' below the closed threshold, 'o' above the open one, NULL between and for NaN.
+    """0 below the closed threshold, 1 above the open one, NULL between and for NaN.
 
     Compared in single precision, as the states are stored.
     """
     v = value.cast("float")
     limit = lambda x: F.lit(x).cast("float")
-    return F.when(F.isnan(v), None).when(v < limit(closed), "c").when(v > limit(opened), "o")
+    return F.when(F.isnan(v), None).when(v < limit(closed), 0).when(v > limit(opened), 1)
 
 
 def _arms(frames: DataFrame, left: Column | None, right: Column | None) -> tuple[Column, Column]:
@@ -51,7 +51,7 @@ def cycle_ends(
         carries={"_left_before": F.col("_left"), "_right_before": F.col("_right")},
     )
     ends = lambda arm: F.coalesce(
-        (F.col(arm) == "o") & (F.col(f"{arm}_before") == "c"), F.lit(False))
+        (F.col(arm) == 1) & (F.col(f"{arm}_before") == 0), F.lit(False))
     return seen.withColumn("is_cycle_end", ends("_left") | ends("_right")).drop(
         "_left", "_right", "_left_before", "_right_before")
 

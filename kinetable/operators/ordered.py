@@ -57,7 +57,8 @@ def ordered_scan(
     local |= {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(upto) for n in with_current}
     rows = work.withColumns(local)
 
-    position = F.struct(*[F.col(c) for c in order])
+    # a single number as position keeps the summary a hash aggregate
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     summary = [F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals]
     summary += [
         F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), position)).alias(f"_s_{n}")

@@ -86,19 +86,18 @@ def frame_owner(frames: DataFrame, episodes: DataFrame) -> DataFrame:
     the frame; range starts and frames are scanned together in index order.
     """
     starts = episodes.select(
-        KEY, F.col("dataset_from_index").alias("index"), F.lit(0).alias("_kind"),
-        F.struct(F.col("episode_index").alias("episode"), F.col("dataset_to_index").alias("end"))
-        .alias("_range"))
-    rows = frames.withColumns({"_kind": F.lit(1), "_range": F.lit(None).cast(
-        starts.schema["_range"].dataType)})
-    both = rows.unionByName(starts, allowMissingColumns=True)
+        KEY, F.col("dataset_from_index").alias("index"), F.lit(True).alias("_start"),
+        F.col("episode_index").alias("_episode"), F.col("dataset_to_index").alias("_end"))
+    both = frames.unionByName(starts, allowMissingColumns=True).withColumn(
+        # a range start comes before the frame of the same index
+        "_at", F.col("index") * 2 + F.when(F.col("_start"), 0).otherwise(1))
     owned = ordered_scan(
-        both, keys=[KEY], order=["index", "_kind"], block=int_block("index"),
-        carries={"_own": F.col("_range")},
-    ).where("_kind = 1")
-    inside = F.col("index") < F.col("_own.end")
-    return owned.withColumn("owner_episode", F.when(inside, F.col("_own.episode"))).drop(
-        "_kind", "_range", "_own")
+        both, keys=[KEY], order=["_at"], block=int_block("index"),
+        carries={"_own": F.col("_episode"), "_own_end": F.col("_end")},
+    ).where(F.col("_start").isNull())
+    inside = F.col("index") < F.col("_own_end")
+    return owned.withColumn("owner_episode", F.when(inside, F.col("_own"))).drop(
+        "_start", "_episode", "_end", "_at", "_own", "_own_end")
 
 
 def frame_references(
