@@ -6,8 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values: the line formats, first match wins --------------------
-NOISE = r"^(_read_rosbag|Traceback |  File |    |ValueError|$)"
-CONTINUATION = r"^(  |Timestamp gap)"
 PREFIX = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\s+\[(\w+)\]\s*(.*)"
 CONVERTED = r"Converted:\s+(.+?)\s+\((\d+)\s+frames(?:,\s+([\d.]+)s)?\)"
 FAILED = r"Failed\s+\[(\w+)\]:\s+(.+?):\s+(.*)"
@@ -29,16 +27,18 @@ EVENT_FIELDS = {
 def _event(kind: Column | str, ts: Column, **fields: Column) -> Column:
     fields = {"type": F.lit(kind) if isinstance(kind, str) else kind, "ts": ts, **fields}
     return F.struct(*[
-        fields.get(name, F.lit(None)).cast(dtype).alias(name)
+        fields.get(name, F.lit(None)).try_cast(dtype).alias(name)
         for name, dtype in EVENT_FIELDS.items()
     ])
 
 
 def log_prefix(line: Column) -> Column:
-    """Time, level and message of a log line, NULL for noise and lines without them."""
+    """Time, level and message of a log line, NULL without them.
+
+    Tracebacks, details on indented lines and other noise carry no time in front.
+    """
     part = lambda i: F.regexp_extract(line, PREFIX, i)
-    skipped = (F.trim(line) == "") | line.rlike(NOISE) | line.rlike(CONTINUATION)
-    return F.when(~skipped & line.rlike(PREFIX), F.struct(
+    return F.when(line.rlike(PREFIX), F.struct(
         part(1).alias("ts"), part(2).alias("level"), F.trim(part(3)).alias("msg")))
 
 

@@ -18,6 +18,7 @@ from kinetable.model import MANUAL_RETRY_ERROR, SERIAL_PATTERN
 from kinetable.operators.ordered import row_position
 
 TASK_SERIAL = ("cell_task", "serial")
+MINUTE = 13  # length of YYYYMMDD_HHMM
 
 
 def _zero(name: str) -> Column:
@@ -102,7 +103,8 @@ def retry_first_queue(pending: DataFrame) -> DataFrame:
     keyed = pending.withColumn("_first", first)
     return row_position(
         keyed, keys=["cell_task"], order=["_first", "serial"],
-        block=F.concat("_first", F.substring("serial", 1, 8)), out="position",
+        # the minute in front of a serial never decreases along the serial order
+        block=F.concat("_first", F.substring("serial", 1, MINUTE)), out="position",
     ).drop("_first")
 
 
@@ -205,7 +207,7 @@ def recording_signature(metacard: Column) -> Column:
         _texts(metacard, "$.action_order").alias("action_order"),
         _sorted_keys(metacard, "$.action_topics_map").alias("action_topic_names"),
         _sorted_keys(metacard, "$.camera_topic_map").alias("camera_names"),
-        F.coalesce(F.get_json_object(metacard, "$.fps").cast("bigint"), F.lit(0)).alias("fps"),
+        F.coalesce(F.get_json_object(metacard, "$.fps").try_cast("double").try_cast("bigint"), F.lit(0)).alias("fps"),
         _texts(metacard, "$.joint_names").alias("joint_names"),
         text("$.robot_type").alias("robot_type"),
     )
@@ -233,7 +235,9 @@ def signature_groups(recordings: DataFrame) -> DataFrame:
     kept = top_group(groups)
     numbered = row_position(
         groups.withColumn("_rank", -F.col("recordings")), keys=["cell_task"],
-        order=["_rank", "signature_id"], block=F.col("_rank"), out="position",
+        order=["_rank", "signature_id"],
+        # many groups may be of one size; signatures spread evenly by their first digits
+        block=F.struct("_rank", F.substring("signature_id", 1, 2).alias("_sig")), out="position",
     ).drop("_rank")
     moved = F.concat("cell_task", F.lit("__"), slug(F.col("robot_type")), F.lit("__"), "signature_id")
     return numbered.join(kept, "cell_task").select(

@@ -153,9 +153,13 @@ def last_state_by_serial(converted: DataFrame) -> DataFrame:
         F.max("serial").alias("last_serial"), F.count("*").alias("converted_count"))
 
 
-def serial_set_digest(serials: DataFrame, key: str = "cell_task") -> DataFrame:
+def serial_set_digest(
+    serials: DataFrame, key: str = "cell_task", keys: DataFrame | None = None
+) -> DataFrame:
     """SHA-256 over the distinct serials of each key in order, one per line.
 
+    ``keys`` adds keys without serials, which have the digest of an empty text.
+
     A hash of one text is sequential by nature; the sorted serials are fed to
     it one by one, so no set is held in memory whatever its size.
     """
@@ -178,4 +182,9 @@ def serial_set_digest(serials: DataFrame, key: str = "cell_task") -> DataFrame:
         if state is not None:
             yield pd.DataFrame([(current, count, state.hexdigest())], columns=[key, "serials", "digest"])
 
-    return ordered.mapInPandas(digest, f"{key} string, serials bigint, digest string")
+    found = ordered.mapInPandas(digest, f"{key} string, serials bigint, digest string")
+    if keys is None:
+        return found
+    return keys.select(key).distinct().join(found, key, "left").select(
+        key, F.coalesce("serials", F.lit(0).cast("bigint")).alias("serials"),
+        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("digest"))

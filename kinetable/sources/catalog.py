@@ -40,9 +40,9 @@ def parse_info(info: DataFrame) -> DataFrame:
         .select(
             "*",
             dataset_key(F.col("dataset_path")).alias("dataset_key"),
-            F.coalesce(F.col("_f")["fps"].cast("double"), F.lit(0.0)).alias("fps"),
-            F.coalesce(F.col("_f")["total_episodes"].cast("bigint"), F.lit(0)).alias("total_episodes"),
-            F.col("_f")["total_frames"].cast("bigint").alias("total_frames"),
+            F.coalesce(F.col("_f")["fps"].try_cast("double"), F.lit(0.0)).alias("fps"),
+            F.coalesce(F.col("_f")["total_episodes"].try_cast("bigint"), F.lit(0)).alias("total_episodes"),
+            F.col("_f")["total_frames"].try_cast("bigint").alias("total_frames"),
             F.col("_f")["robot_type"].alias("robot_type"),
             F.col("_f")["video_path"].alias("video_path"),
             features.alias("features"),

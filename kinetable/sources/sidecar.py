@@ -27,7 +27,7 @@ def explode_sidecar(sidecars: DataFrame, *keys: str) -> DataFrame:
         sidecars.select(*keys, F.explode(F.from_json("value", _ENTRIES)).alias("_k", "_a"))
         .select(
             *keys,
-            F.col("_k").cast("bigint").alias("episode_index"),
+            F.col("_k").try_cast("bigint").alias("episode_index"),
             F.col("_a.grade").alias("grade"),
             F.coalesce("_a.tags", F.array().cast("array<string>")).alias("tags"),
         )

@@ -95,6 +95,16 @@ def test_serial_digest(spark):
     df = spark.createDataFrame([("t", "b"), ("t", "a"), ("t", "a")], "cell_task string, serial string")
     out = serials.serial_set_digest(df).first()
     assert out.digest == hashlib.sha256(b"a\nb\n").hexdigest() and out.serials == 2
+    tasks_ = spark.createDataFrame([("t",), ("empty",)], "cell_task string")
+    both = {r.cell_task: r for r in serials.serial_set_digest(df, keys=tasks_).collect()}
+    assert both["empty"].digest == hashlib.sha256(b"").hexdigest() and both["t"].serials == 2
+
+
+def test_signature_reads_odd_frame_rates(spark):
+    cards = [json.dumps({"fps": 29.97}), json.dumps({"fps": 29}), json.dumps({"fps": None}), json.dumps({})]
+    df = spark.createDataFrame([("t", f"s{i}", c) for i, c in enumerate(cards)], "cell_task string, serial string, metacard string")
+    got = [r.signature.fps for r in conversion.with_signature(df).orderBy("serial").collect()]
+    assert got == [29, 29, 0, 0]
 
 
 def test_instruction_preview_and_apply(spark):
