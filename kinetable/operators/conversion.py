@@ -187,39 +187,43 @@ def retry_all_failed(unfinished: DataFrame, now: Column) -> DataFrame:
 
 # --- recordings grouped by what they recorded ------------------------------
 
-def _sorted_keys(metacard: Column, path: str) -> Column:
-    keys = F.json_object_keys(F.get_json_object(metacard, path))
-    return F.coalesce(F.array_sort(keys), F.array().cast("array<string>"))
-
-
-def _texts(metacard: Column, path: str) -> Column:
-    return F.coalesce(F.from_json(F.get_json_object(metacard, path), "array<string>"),
-                      F.array().cast("array<string>"))
+_CARD = (
+    "robot_type string, fps string, joint_names array<string>, action_order array<string>, "
+    "action_joint_order map<string,array<string>>, action_topics_map map<string,string>, "
+    "camera_topic_map map<string,string>"
+)
 
 
-def recording_signature(metacard: Column) -> Column:
-    """Fields of a metacard that shape the converted output, in name order."""
-    text = lambda path: F.coalesce(F.get_json_object(metacard, path), F.lit(""))
-    orders = F.from_json(F.get_json_object(metacard, "$.action_joint_order"), "map<string,array<string>>")
-    sorted_orders = F.map_from_entries(F.array_sort(F.map_entries(orders)))
+def recording_signature(card: Column) -> Column:
+    """Fields of a parsed metacard that shape the converted output, in name order."""
+    texts = lambda field: F.coalesce(card[field], F.array().cast("array<string>"))
+    keys = lambda field: F.coalesce(
+        F.array_sort(F.map_keys(card[field])), F.array().cast("array<string>"))
+    orders = F.map_from_entries(F.array_sort(F.map_entries(card["action_joint_order"])))
     return F.struct(
-        F.coalesce(sorted_orders, F.create_map().cast("map<string,array<string>>")).alias("action_joint_order"),
-        _texts(metacard, "$.action_order").alias("action_order"),
-        _sorted_keys(metacard, "$.action_topics_map").alias("action_topic_names"),
-        _sorted_keys(metacard, "$.camera_topic_map").alias("camera_names"),
-        F.coalesce(F.get_json_object(metacard, "$.fps").try_cast("double").try_cast("bigint"), F.lit(0)).alias("fps"),
-        _texts(metacard, "$.joint_names").alias("joint_names"),
-        text("$.robot_type").alias("robot_type"),
+        F.coalesce(orders, F.create_map().cast("map<string,array<string>>")).alias("action_joint_order"),
+        texts("action_order").alias("action_order"),
+        keys("action_topics_map").alias("action_topic_names"),
+        keys("camera_topic_map").alias("camera_names"),
+        F.coalesce(card["fps"].try_cast("double").try_cast("bigint"), F.lit(0)).alias("fps"),
+        texts("joint_names").alias("joint_names"),
+        F.coalesce(card["robot_type"], F.lit("")).alias("robot_type"),
     )
 
 
 def with_signature(recordings: DataFrame) -> DataFrame:
-    """Recordings with their signature and its short digest; NULL for unreadable metacards."""
+    """Recordings with their signature and its short digest; NULL for unreadable metacards.
+
+    Each ``inline`` of one struct keeps a step from being worked out again by
+    every column and filter that uses it.
+    """
+    once = lambda column, name: F.inline(F.array(F.struct(column.alias(name))))
     readable = F.json_object_keys("metacard").isNotNull()
-    return recordings.withColumn(
-        "signature", F.when(readable, recording_signature(F.col("metacard")))
-    ).withColumn("signature_id", F.when(
-        readable, F.substring(canonical_digest(F.col("signature")), 1, 8)))
+    cards = recordings.select("*", once(F.when(readable, F.from_json("metacard", _CARD)), "_card"))
+    signed = cards.select("*", once(F.when(
+        F.col("_card").isNotNull(), recording_signature(F.col("_card"))), "signature")).drop("_card")
+    return signed.select("*", once(F.when(F.col("signature").isNotNull(), F.substring(
+        canonical_digest(F.col("signature")), 1, 8)), "signature_id"))
 
 
 def signature_groups(recordings: DataFrame) -> DataFrame:
