@@ -16,6 +16,7 @@ from kinetable.functions.serials import strict_recording_date
 from kinetable.functions.text import canonical_digest, slug
 from kinetable.model import MANUAL_RETRY_ERROR, SERIAL_PATTERN
 from kinetable.operators.ordered import row_position
+from kinetable.settings import checkpointed
 
 TASK_SERIAL = ("cell_task", "serial")
 MINUTE = 13  # length of YYYYMMDD_HHMM
@@ -233,9 +234,10 @@ def signature_groups(recordings: DataFrame) -> DataFrame:
     move to ``<task>__<robot>__<signature>``.
     """
     signed = with_signature(recordings).where(F.col("signature_id").isNotNull())
-    groups = signed.groupBy("cell_task", "signature_id").agg(
+    # one row per group; counted, ranked and compared below
+    groups = checkpointed(signed.groupBy("cell_task", "signature_id").agg(
         F.count("*").alias("recordings"), F.min("serial").alias("first_serial"),
-        F.min("signature.robot_type").alias("robot_type"))
+        F.min("signature.robot_type").alias("robot_type")))
     kept = top_group(groups)
     numbered = row_position(
         groups.withColumn("_rank", -F.col("recordings")), keys=["cell_task"],
@@ -253,9 +255,8 @@ def signature_groups(recordings: DataFrame) -> DataFrame:
 
 def top_group(groups: DataFrame) -> DataFrame:
     """Largest group per task; of equal ones the group whose first recording comes first."""
-    largest = groups.groupBy("cell_task").agg(F.max("recordings").alias("_most"))
-    return groups.join(largest, "cell_task").where("recordings = _most").groupBy("cell_task").agg(
-        F.min_by("signature_id", "first_serial").alias("keep"))
+    size_then_name = F.struct((-F.col("recordings")).alias("size"), "first_serial")
+    return groups.groupBy("cell_task").agg(F.min_by("signature_id", size_then_name).alias("keep"))
 
 
 def invalid_metacards(recordings: DataFrame) -> DataFrame:
