@@ -14,7 +14,7 @@ SAMPLE = ("annotation_by_index", "dist_histogram", "reindex_episodes", "divergen
 
 
 def test_every_query_has_a_check_but_the_fingerprint():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"dataset_fingerprint"}
+    assert set(entry.QUERIES) - set(entry.CHECKS) == {"dataset_fingerprint"}
 
 
 def test_entry(spark):
