@@ -21,9 +21,10 @@ def words(text: Column) -> Column:
         F.split(core, "[\\x20\\x09-\\x0D]+"))
 
 
-def inner(names: list[str]) -> dict[str, str]:
-    """Private names for columns the operators add, clear of those that a table has."""
-    return {name: f"__{name}" for name in names}
+def small_batches(df: DataFrame) -> DataFrame:
+    """Let Spark hand texts to Python in batches of bounded size, however long they are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return df
 
 
 def map_texts(
@@ -56,7 +57,7 @@ def map_texts(
                         schema=out)
                     begin, size = i + 1, 0
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return small_batches(df).select(*columns).mapInArrow(run, schema)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetable.llm import mixing, rules, simhash
+from kinetable.llm import mixing, phrases, rules, simhash, suffixes
 from kinetable.llm.registry import query
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -88,3 +88,17 @@ FROM g LEFT JOIN m USING (rid)
 """)
 def op8_quality_rules(docs: DataFrame) -> DataFrame:
     return rules.quality_rules(docs, ["doc_id"]).drop("class_distance", "word_distance")
+
+
+@query("documents")
+def op3_suffix_array_dedup(docs: DataFrame) -> DataFrame:
+    docs = docs.select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    cut = suffixes.cut_repeats(docs, order="doc_id", carry=["doc_id", "n_bytes"])
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("documents")
+def op10_document_fingerprints(docs: DataFrame) -> DataFrame:
+    return phrases.fingerprints_with_next(docs, order="doc_id").withColumnRenamed("id", "doc_id")
