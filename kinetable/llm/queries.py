@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import mixing, phrases, rules, simhash, suffixes
-from kinetable.llm.registry import query
+from kinetable.llm import density, langid, mixing, phrases, rules, simhash, suffixes
+from kinetable.llm.registry import QUERIES, query, read
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -102,3 +102,22 @@ def op3_suffix_array_dedup(docs: DataFrame) -> DataFrame:
 @query("documents")
 def op10_document_fingerprints(docs: DataFrame) -> DataFrame:
     return phrases.fingerprints_with_next(docs, order="doc_id").withColumnRenamed("id", "doc_id")
+
+
+@query("documents")
+def op1_language_id(docs: DataFrame) -> DataFrame:
+    held_out = langid.fold(F.col("doc_id"), 3) == 1
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, ["doc_id", "held_out"])
+
+
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    held_out = langid.fold(F.col("doc_id"), 4) == 2
+    known = docs.where(~held_out).select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id")
+    model = density.fit(known)
+    rows = density.scored(docs.select("doc_id", held_out.alias("held_out"), "text"), model, ["doc_id", "held_out"])
+    return rows.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+QUERIES["op7_quality_classifier"] = op7_quality_classifier
