@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import density, langid, mixing, phrases, rules, simhash, suffixes
+from kinetable.llm import density, langid, licenses, mixing, phrases, pieces, rules, simhash, suffixes, urls
 from kinetable.llm.registry import QUERIES, query, read
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -121,3 +121,32 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op7_quality_classifier"] = op7_quality_classifier
+
+
+SITE_RULES = [
+    urls.Rule("block", "net"), urls.Rule("allow", "example.net", "/en/"),
+    urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/")]
+
+
+@query("pages")
+def op4_url_filters(pages: DataFrame) -> DataFrame:
+    return urls.judged(pages, SITE_RULES, ["page_id"])
+
+
+@query("documents")
+def op5_license_scan(docs: DataFrame) -> DataFrame:
+    return licenses.scan(docs, ["doc_id"])
+
+
+VOCABULARY_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("documents")
+def op9_sentencepiece(docs: DataFrame) -> DataFrame:
+    """Every text as pieces, and whether they give the text again."""
+    rows = docs.select("doc_id", "text", F.col("text").alias("original"))
+    found = pieces.encoded(rows, ["doc_id", "original"], path=VOCABULARY_FILE)
+    back = pieces.decoded(found, ["doc_id", "original", "score", "margin", "ids"], path=VOCABULARY_FILE)
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", "margin",
+        (F.col("text") == F.coalesce("original", F.lit(""))).alias("round_trip"))
