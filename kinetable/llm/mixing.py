@@ -53,35 +53,67 @@ def targets(sizes: DataFrame, weights: Column, *, epochs: int = 3) -> DataFrame:
         "__weight", "__cap")
 
 
-def mixed(
-    docs: DataFrame, keys: list[str], *, text: str = "text", source: str = "source", seed: int = 17,
-    epochs: int = 3, cycle: int = 3,
+def _sized(docs: DataFrame, keys: list[str], text: str, source: str, seed: int) -> DataFrame:
+    """``__source``, ``__size`` and the seeded order ``__place`` of every row, next to its own columns."""
+    named = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in keys]
+    size = F.size(words(F.col(f"`{text}`"))).cast("long")
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{source}`").alias("__source"),
+        size.alias("__size"), F.struct(
+            F.md5(F.concat_ws(":", F.lit(str(seed)), *named)).alias("draw"),
+            F.xxhash64(F.col(f"`{text}`")).alias("tie")).alias("__place"))
+
+
+def shares(
+    docs: DataFrame, keys: list[str], *, text: str = "text", source: str = "source", seed: int = 17, epochs: int = 3,
+    cycle: int = 3,
 ) -> DataFrame:
-    """``keys``, ``size``, ``source_size``, ``target`` and ``times`` a row is taken.
+    """One row for each source: its size and target, how often it is taken whole, and up to where once more.
 
     Sources in code point order weigh 1 to ``cycle``, repeating.
     """
-    rows = checkpointed(docs.select(
-        *[F.col(f"`{k}`").alias(f"__key_{k}") for k in keys], F.col(source).alias("__source"),
-        F.size(words(F.col(text))).cast("long").alias("size"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in keys])
-              ).alias("__draw"),
-        F.xxhash64(text).alias("__tie")))
+    rows = checkpointed(_sized(docs, keys, text, source, seed).select(
+        "__source", F.col("__size").alias("size"), "__place.draw", "__place.tie"))
     sums = rows.groupBy("__source").agg(F.sum("size").alias("size"))
     ordered = row_position(
         sums.withColumns({"__all": F.lit(0), "__null": F.col("__source").isNull(), "__name": F.coalesce("__source", F.lit(""))}),
         keys=["__all"], order=["__null", "__name"], out="__rank",
         block=F.struct(F.col("__null"), F.substring("__name", 1, 6)))
-    level = targets(ordered, F.col("__rank") % cycle + 1, epochs=epochs).select(
-        F.col("__source").alias("__of"), F.col("__rank"), F.col("size").alias("source_size"), "target")
-    joined = rows.join(level, F.col("__source").eqNullSafe(F.col("__of")))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    joined = joined.withColumn("__whole", whole.cast("long"))
+    level = targets(ordered, F.col("__rank") % cycle + 1, epochs=epochs)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(F.lit(0)).cast("long")
+    level = checkpointed(level.select(
+        F.col("__source").alias("__of"), "__rank", F.col("size").alias("source_size"), "target", whole.alias("whole")))
+    joined = rows.join(level.where(F.col("whole") < epochs), F.col("__source").eqNullSafe(F.col("__of")))
     running = ordered_scan(
-        joined, keys=["__rank"], order=["__draw", "__tie", "size"], block=F.substring("__draw", 1, 3),
+        joined, keys=["__rank"], order=["draw", "tie", "size"], block=F.substring("draw", 1, 3),
         totals={"__before": F.col("size")})
-    rest = F.col("target") - F.col("__whole") * F.col("source_size")
-    extra = (2 * F.col("__before") + F.col("size") <= 2 * rest) & (F.col("__whole") < epochs)
-    return running.select(
-        *[F.col(f"__key_{k}").alias(k) for k in keys], "size", "source_size", "target",
-        (F.col("__whole") + extra.cast("long")).alias("times"))
+    rest = F.col("target") - F.col("whole") * F.col("source_size")
+    last = running.where(2 * F.col("__before") + F.col("size") <= 2 * rest).groupBy("__rank").agg(
+        F.max(F.struct("draw", "tie")).alias("last"))
+    return level.join(last, "__rank", "left").select("__of", "source_size", "target", "whole", "last")
+
+
+SOURCES_BROADCAST = 50_000
+
+
+def _timed(docs: DataFrame, keys: list[str], **options) -> DataFrame:
+    level = checkpointed(shares(docs, keys, **options))
+    few = level.count() <= SOURCES_BROADCAST  # more sources than that meet their rows in a shuffle
+    picked = {"text": "text", "source": "source", "seed": 17} | {k: v for k, v in options.items() if k in ("text", "source", "seed")}
+    rows = _sized(docs, keys, **picked)
+    joined = rows.join(F.broadcast(level) if few else level, F.col("__source").eqNullSafe(F.col("__of")))
+    extra = F.coalesce(F.col("__place") <= F.col("last"), F.lit(False))
+    return joined.withColumn("__times", F.col("whole") + extra.cast("long"))
+
+
+def mixed(docs: DataFrame, keys: list[str], **options) -> DataFrame:
+    """``keys``, ``size``, ``source_size``, ``target`` and ``times`` a row is taken; options as in :func:`shares`."""
+    return _timed(docs, keys, **options).select(
+        *[F.col(f"__row.`{k}`").alias(k) for k in keys], F.col("__size").alias("size"), "source_size", "target",
+        F.col("__times").alias("times"))
+
+
+def repeated(docs: DataFrame, keys: list[str], **options) -> DataFrame:
+    """Every row as often as the mix takes it, with its columns as they are; options as in :func:`shares`."""
+    rows = _timed(docs, keys, **options).where("__times > 0")
+    return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")

@@ -174,3 +174,16 @@ def quality_rules(
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
              "base_failed", "kept", "class_distance", "word_distance")
     return rows.select(*[F.col(f"__key_{k}").alias(k) for k in keys], *[F.col(f"__{n}").alias(n) for n in names])
+
+
+def kept_documents(
+    docs: DataFrame, *, text: str = "text", lang: str = "lang", limits: Limits = Limits()
+) -> DataFrame:
+    """The rows that pass, with all their columns as they are.
+
+    The texts are read twice, once for the references and once for the verdict,
+    and not moved.
+    """
+    rows = docs.select(F.struct("*").alias("__row"), F.col(f"`{text}`").alias("__text"), F.col(f"`{lang}`").alias("__lang"))
+    refs = references(counted(rows, "__text"), "__lang", limits.min_words)
+    return judged(counted(rows, "__text"), refs, limits).where("__kept").select("__row.*")
