@@ -186,4 +186,8 @@ def kept_documents(
     """
     rows = docs.select(F.struct("*").alias("__row"), F.col(f"`{text}`").alias("__text"), F.col(f"`{lang}`").alias("__lang"))
     refs = references(counted(rows, "__text"), "__lang", limits.min_words)
-    return judged(counted(rows, "__text"), refs, limits).where("__kept").select("__row.*")
+    rows = judged(counted(rows, "__text"), refs, limits)
+    # a column that is no function of the row holds the filter back: pushed down, it would
+    # repeat each step of the counts wherever the next one uses it
+    rows = rows.withColumn("__part", F.spark_partition_id())
+    return rows.where(F.col("__kept") & (F.col("__part") >= 0)).select("__row.*")
