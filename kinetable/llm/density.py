@@ -6,9 +6,10 @@ difference of both compressed sizes, normalised by their sum, is turned into a
 probability by logistic calibration on labelled rows that the dictionaries have
 not seen.
 
-The model is bounded by its parameters: at most ``samples`` whole labelled texts
-of each kind, up to ``sample_chars`` characters long, dictionaries of
-``dictionary_bytes``, and ``calibration_rows`` rows for two numbers.
+The model is bounded by its parameters: about ``rows`` labelled texts
+(:func:`bounded`), of them at most ``samples`` whole texts of each kind, up to
+``sample_chars`` characters long, for dictionaries of ``dictionary_bytes``, and
+half for the two numbers of the calibration.
 
 Defined results: null and empty texts are scored from a difference of zero, as
 are all texts if one of the labels is missing; rows that repeat get equal
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetable.llm.common import map_texts
+from kinetable.settings import checkpointed
 
 BLOCK = 1 << 12
 
@@ -68,32 +70,36 @@ def dictionary(texts: list[str], size: int) -> bytes:
     return out
 
 
+def bounded(labels: DataFrame, key: str, rows: int = 30_000) -> DataFrame:
+    """About ``rows`` of the rows, chosen by the hash of their key; all if there are no more."""
+    count = labels.count()
+    if count <= rows:
+        return labels
+    return labels.where(F.pmod(F.xxhash64(key, F.lit("label")), F.lit(1 << 31)) < int(rows / count * (1 << 31)))
+
+
 def fit(
-    rows: DataFrame, *, samples: int = 1_000, sample_chars: int = 4_000, dictionary_bytes: int = 400_000,
-    calibration_rows: int = 20_000, level: int = 6,
+    rows: DataFrame, *, samples: int = 1_000, sample_chars: int = 4_000, dictionary_bytes: int = 400_000, level: int = 6,
 ) -> Model | None:
-    """Learn from ``text`` and ``quality`` (0 or 1); None if one of them has no text.
+    """Learn from ``text`` and ``quality`` (0 or 1) of a bounded table; None if one of them has no text.
 
     Rows are dealt by the hash of their text: half to the dictionaries, half to
     the calibration.
     """
-    rows = rows.where(F.col("quality").isin(0, 1) & F.col("text").isNotNull()).select(
-        "text", F.col("quality").cast("int").alias("quality"), F.xxhash64("text", F.lit("deal")).alias("deal"))
+    rows = checkpointed(rows.where(F.col("quality").isin(0, 1) & F.col("text").isNotNull()).select(
+        "text", F.col("quality").cast("int").alias("quality"), F.xxhash64("text", F.lit("deal")).alias("deal")))
     half = F.pmod("deal", F.lit(2)) == 0
     texts = {}
     for label in (0, 1):
-        # as many as wanted, by hash; the query reads them in that order and stops
-        found = rows.where(half & (F.col("quality") == label) & F.length("text").between(1, sample_chars)).orderBy(
-            "deal", "text").limit(samples).select("text").collect()
+        # as many as wanted in the order of their hashes; only the hashes are sorted
+        fit_for = rows.where(half & (F.col("quality") == label) & F.length("text").between(1, sample_chars))
+        last = [r.deal for r in fit_for.select("deal").distinct().orderBy("deal").limit(samples).collect()][-1:]
+        found = fit_for.where(F.col("deal") <= last[0]).dropDuplicates(["deal"]).orderBy("deal").select("text").collect() if last else []
         texts[label] = [r.text for r in found]
     if not texts[0] or not texts[1]:
         return None
     model = Model(dictionary(texts[1], dictionary_bytes), dictionary(texts[0], dictionary_bytes), level)
-    other = rows.where(~half)
-    count = other.count()
-    if count > calibration_rows:
-        other = other.where(F.pmod(F.xxhash64("deal"), F.lit(1 << 31)) < int(calibration_rows / count * (1 << 31)))
-    values = differences(other, model, ["quality"]).toPandas()
+    values = differences(rows.where(~half), model, ["quality"]).toPandas()
     if values["quality"].nunique() == 2:
         slope, offset = logistic(values["difference"].to_numpy(), values["quality"].to_numpy())
         model = Model(model.good, model.bad, level, slope, offset)
