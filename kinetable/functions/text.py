@@ -43,5 +43,6 @@ def value_label(column: Column, dtype: T.DataType) -> Column:
 
 
 def one_decimal(value: Column) -> Column:
-    """One decimal, ties to the even digit."""
-    return F.bround(value.cast("decimal(38,18)"), 1).cast("decimal(38,1)").cast("string")
+    """One decimal, ties to the even digit; values of twenty digits or more as they are."""
+    rounded = F.bround(value.try_cast("decimal(38,18)"), 1).try_cast("decimal(38,1)").cast("string")
+    return F.coalesce(rounded, value.cast("string"))

@@ -164,17 +164,20 @@ def migration_counts(legacy: DataFrame, bridge: DataFrame, annotations: DataFram
 
 def merge_upsert(
     current: DataFrame, new: DataFrame, keys: Sequence[str],
-    when: Column | None = None,
+    when: Column | None = None, order: Column | None = None,
 ) -> DataFrame:
     """Rows of ``new`` replace or join those of ``current``; the result is a full new table.
 
     ``when`` limits replacement by a condition on the current row (``old.*``).
-    Columns that ``new`` lacks keep their current value.
+    Columns that ``new`` lacks keep their current value. Of several rows of
+    ``new`` with one key the last in ``order`` counts (by default the greatest
+    of their values), so a key stays one row.
     """
     columns = [c for c in current.columns if c not in keys]
     have = current.select(*keys, F.struct(*columns).alias("old"))
     incoming = [c for c in new.columns if c not in keys]
-    come = new.select(*keys, F.struct(*incoming).alias("new"))
+    row = F.struct(*incoming)
+    come = new.groupBy(*keys).agg((F.max(row) if order is None else F.max_by(row, order)).alias("new"))
     both = have.join(come, list(keys), "full_outer")
     take = F.col("new").isNotNull()
     if when is not None:
@@ -205,7 +208,11 @@ def grade_updates(updates: DataFrame) -> DataFrame:
 def apply_grade_updates(
     annotations: DataFrame, updates: DataFrame, bridge: DataFrame
 ) -> DataFrame:
-    """Upsert valid updates keyed by episode onto annotations keyed by serial."""
+    """Upsert valid updates keyed by episode onto annotations keyed by serial.
+
+    If episodes of several datasets have one serial, the last dataset and
+    episode by key and index decides.
+    """
     ready = grade_updates(updates).where("valid").join(bridge, list(EP))
     joined = ready.join(
         annotations.select("serial_number", F.col("tags").alias("_old")), "serial_number", "left"
@@ -214,9 +221,10 @@ def apply_grade_updates(
         "serial_number", "grade",
         F.when(F.col("keep_tags"), F.coalesce("_old", _empty_tags())).otherwise(F.col("tags"))
         .alias("tags"),
-        "reason",
+        "reason", F.struct(*EP).alias("_at"),
     )
-    return merge_upsert(annotations, new, ["serial_number"])
+    last = new.groupBy("serial_number").agg(F.max_by(F.struct("grade", "tags", "reason"), "_at").alias("_row"))
+    return merge_upsert(annotations, last.select("serial_number", "_row.*"), ["serial_number"])
 
 
 def bulk_grade(

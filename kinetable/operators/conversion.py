@@ -213,7 +213,7 @@ def recording_signature(card: Column) -> Column:
 
 
 def with_signature(recordings: DataFrame) -> DataFrame:
-    """Recordings with their signature and its short digest; NULL for unreadable metacards.
+    """Recordings with their signature, its digest and the short form that is shown; NULL for unreadable metacards.
 
     Each ``inline`` of one struct keeps a step from being worked out again by
     every column and filter that uses it.
@@ -223,8 +223,9 @@ def with_signature(recordings: DataFrame) -> DataFrame:
     cards = recordings.select("*", once(F.when(readable, F.from_json("metacard", _CARD)), "_card"))
     signed = cards.select("*", once(F.when(
         F.col("_card").isNotNull(), recording_signature(F.col("_card"))), "signature")).drop("_card")
-    return signed.select("*", once(F.when(F.col("signature").isNotNull(), F.substring(
-        canonical_digest(F.col("signature")), 1, 8)), "signature_id"))
+    signed = signed.select("*", once(F.when(
+        F.col("signature").isNotNull(), canonical_digest(F.col("signature"))), "signature_digest"))
+    return signed.withColumn("signature_id", F.substring("signature_digest", 1, 8))
 
 
 def signature_groups(recordings: DataFrame) -> DataFrame:
@@ -235,28 +236,28 @@ def signature_groups(recordings: DataFrame) -> DataFrame:
     """
     signed = with_signature(recordings).where(F.col("signature_id").isNotNull())
     # one row per group; counted, ranked and compared below
-    groups = checkpointed(signed.groupBy("cell_task", "signature_id").agg(
+    groups = checkpointed(signed.groupBy("cell_task", "signature_digest").agg(
         F.count("*").alias("recordings"), F.min("serial").alias("first_serial"),
         F.min("signature.robot_type").alias("robot_type")))
     kept = top_group(groups)
     numbered = row_position(
         groups.withColumn("_rank", -F.col("recordings")), keys=["cell_task"],
-        order=["_rank", "signature_id"],
+        order=["_rank", "signature_digest"],
         # many groups may be of one size; signatures spread evenly by their first digits
-        block=F.struct("_rank", F.substring("signature_id", 1, 2).alias("_sig")), out="position",
-    ).drop("_rank")
+        block=F.struct("_rank", F.substring("signature_digest", 1, 2).alias("_sig")), out="position",
+    ).drop("_rank").withColumn("signature_id", F.substring("signature_digest", 1, 8))
     moved = F.concat("cell_task", F.lit("__"), slug(F.col("robot_type")), F.lit("__"), "signature_id")
     return numbered.join(kept, "cell_task").select(
         "cell_task", "signature_id", "robot_type", "recordings", "position",
-        (F.col("signature_id") == F.col("keep")).alias("keep_in_source"),
-        F.when(F.col("signature_id") == F.col("keep"), F.col("cell_task")).otherwise(moved)
+        (F.col("signature_digest") == F.col("keep")).alias("keep_in_source"),
+        F.when(F.col("signature_digest") == F.col("keep"), F.col("cell_task")).otherwise(moved)
         .alias("destination"))
 
 
 def top_group(groups: DataFrame) -> DataFrame:
     """Largest group per task; of equal ones the group whose first recording comes first."""
     size_then_name = F.struct((-F.col("recordings")).alias("size"), "first_serial")
-    return groups.groupBy("cell_task").agg(F.min_by("signature_id", size_then_name).alias("keep"))
+    return groups.groupBy("cell_task").agg(F.min_by("signature_digest", size_then_name).alias("keep"))
 
 
 def invalid_metacards(recordings: DataFrame) -> DataFrame:

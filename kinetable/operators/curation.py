@@ -63,10 +63,13 @@ def eligible_batch(states: DataFrame, limit: int | None = None) -> DataFrame:
     return ready if limit is None else ready.orderBy("updated_at", "serial_number").limit(limit)
 
 
-def finish_batch(states: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+def finish_batch(
+    states: DataFrame, results: DataFrame, now: Column, reason_length: int = REASON_LENGTH
+) -> DataFrame:
     """Processed recordings become ready, those with an error failed and to be retried.
 
-    ``results`` holds ``(serial_number, error)``, error NULL on success.
+    ``results`` holds ``(serial_number, error)``, error NULL on success; the state
+    shows the first ``reason_length`` characters of an error.
     """
     done = results.select("serial_number", F.lit(True).alias("_done"), F.col("error").alias("_err"))
     joined = states.join(done, "serial_number", "left")
@@ -76,7 +79,7 @@ def finish_batch(states: DataFrame, results: DataFrame, now: Column) -> DataFram
     return joined.withColumns({
         "state": F.when(ok, "silver_ready").when(bad, "silver_failed").otherwise(keep("state")),
         "failure_reason": F.when(ok, None).when(
-            bad, F.substring("_err", 1, REASON_LENGTH)).otherwise(keep("failure_reason")),
+            bad, F.substring("_err", 1, reason_length)).otherwise(keep("failure_reason")),
         "retry_required": F.when(ok, False).when(bad, True).otherwise(keep("retry_required")),
         "processing_started_at": F.when(F.col("_done"), now).otherwise(keep("processing_started_at")),
         "updated_at": F.when(F.col("_done"), now).otherwise(keep("updated_at")),

@@ -12,7 +12,6 @@ from kinetable.functions.serials import created_at
 from kinetable.operators.ordered import int_block, row_position, runs
 
 EP = ("dataset_key", "episode_index")
-LABELS_PER_LINE = 1000
 
 
 def _or_zero(df: DataFrame, name: str) -> Column:
@@ -194,11 +193,13 @@ def episode_ranges(ids: DataFrame, keys: Sequence[str] = ("dataset_key",)) -> Da
     return runs(unique, keys=list(keys), pos="episode_index", label="_run").drop("_run")
 
 
-def episode_ranges_text(ids: DataFrame, keys: Sequence[str] = ("dataset_key",)) -> DataFrame:
-    """Ranges as text such as ``0-3, 7, 9-10``, at most 1000 ranges a line.
+def episode_ranges_text(
+    ids: DataFrame, per_line: int, keys: Sequence[str] = ("dataset_key",)
+) -> DataFrame:
+    """Ranges as text such as ``0-3, 7, 9-10``, in lines of ``per_line`` ranges.
 
-    A selection of up to 1000 ranges is one line; longer ones go on in further
-    lines, so no text grows without bound.
+    The last line of a key may be shorter, so no text grows without bound; for
+    one row to a range take :func:`episode_ranges`.
     """
     label = F.when(F.col("start") == F.col("end"), F.col("start").cast("string")).otherwise(
         F.concat_ws("-", "start", "end"))
@@ -206,7 +207,7 @@ def episode_ranges_text(ids: DataFrame, keys: Sequence[str] = ("dataset_key",))
         episode_ranges(ids, keys).withColumn("label", label),
         keys=list(keys), order=["start"], block=int_block("start"), out="_p",
     )
-    line = placed.withColumn("line", F.floor(F.col("_p") / LABELS_PER_LINE))
+    line = placed.withColumn("line", F.floor(F.col("_p") / per_line))
     return line.groupBy(*keys, "line").agg(
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("_p", "label"))), lambda r: r["label"]),

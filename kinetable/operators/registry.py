@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_JOBS = 500
 HEARTBEAT_SECONDS = 30
 
 
@@ -25,9 +24,9 @@ def changed_datasets(live: DataFrame, stored: DataFrame) -> DataFrame:
 
 def list_jobs(
     jobs: DataFrame, *, type: str | None = None, status: str | None = None,
-    dataset_id: int | None = None, since: str | None = None, limit: int = 100,
+    dataset_id: int | None = None, since: str | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """Newest jobs first, at most 500, each condition optional."""
+    """Newest jobs first, each condition optional; all of them without a limit."""
     if type is not None:
         jobs = jobs.where(F.col("type") == type)
     if status is not None:
@@ -36,7 +35,8 @@ def list_jobs(
         jobs = jobs.where(F.get_json_object("payload", "$.dataset_id") == str(dataset_id))
     if since is not None:
         jobs = jobs.where(F.col("updated_at") >= F.to_timestamp(F.lit(since)))
-    return jobs.orderBy(F.desc("id")).limit(min(limit, MAX_JOBS))
+    newest = jobs.orderBy(F.desc("id"))
+    return newest if limit is None else newest.limit(limit)
 
 
 def worker_status(

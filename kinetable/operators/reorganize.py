@@ -126,8 +126,7 @@ def merge_datasets(
     joined = episodes.join(targets, "dataset_key").join(mapped, ["dataset_key", "task_index"], "left")
     moved = joined.withColumn("task_index", F.coalesce("new_task_index", "task_index")).drop(
         "new_task_index")
-    # 2^40 ids per source keep the block number rising along (source, id)
-    block = F.col("source_order") * F.lit(2**24) + int_block("episode_index")
+    block = F.struct(F.col("source_order").alias("source"), int_block("episode_index").alias("part"))
     return reindex_episodes(
         moved, order=("source_order", "episode_index"), block=block, key="target",
     ).withColumnRenamed("dataset_key", "source_dataset")

@@ -99,13 +99,19 @@ def preview_fingerprint(preview: DataFrame) -> DataFrame:
 def apply_shared_rename(
     tasks: DataFrame, episodes: DataFrame, preview: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Rename task texts in the task table and in every episode's task list."""
-    renames = preview.where("action = 'shared' and problem is null").select(
-        "dataset_key", F.col("current_task_index").alias("task_index"),
-        F.col("instruction").alias("_new"))
+    """Rename task texts in the task table and in every episode's task list.
+
+    A rename that several episodes ask for is one; a task for which different
+    texts are asked keeps its own.
+    """
+    renames = preview.where("action = 'shared' and problem is null").groupBy(
+        "dataset_key", F.col("current_task_index").alias("task_index")).agg(
+        F.min("instruction").alias("_new"), F.max("instruction").alias("_other")
+    ).where(F.col("_new") == F.col("_other")).drop("_other")
     new_tasks = tasks.join(renames, ["dataset_key", "task_index"], "left")
     # one entry per renamed task of a dataset, each asked for by a person
-    changed = new_tasks.where("_new is not null").groupBy("dataset_key").agg(
+    changed = new_tasks.where("_new is not null").groupBy("dataset_key", "task").agg(
+        F.min("_new").alias("_new")).groupBy("dataset_key").agg(
         F.map_from_entries(F.collect_list(F.struct("task", "_new"))).alias("_map"))
     new_tasks = new_tasks.withColumn("task", F.coalesce("_new", "task")).drop("_new")
     if "tasks" not in episodes.columns:

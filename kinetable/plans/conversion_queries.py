@@ -64,8 +64,8 @@ def grade_counts_raw(s: Shapes):
 _CARD = """'{"action_joint_order":{},"action_order":[],"action_topic_names":[],"camera_names":["cam_a","cam_b"],"fps":' || fps ||
   ',"joint_names":["a","b"],"robot_type":"' || brand || '"}'"""
 _GROUPS = f"""
-WITH signed AS (SELECT *, sha256({_CARD})[1:8] AS signature_id FROM recordings WHERE readable),
-groups AS (SELECT cell_task, signature_id, brand AS robot_type, count(*) AS recordings, min(serial) AS first_serial FROM signed GROUP BY ALL),
+WITH signed AS (SELECT *, sha256({_CARD}) AS digest FROM recordings WHERE readable),
+groups AS (SELECT cell_task, digest, digest[1:8] AS signature_id, brand AS robot_type, count(*) AS recordings, min(serial) AS first_serial FROM signed GROUP BY ALL),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell_task ORDER BY recordings DESC, first_serial) AS rn FROM groups) WHERE rn = 1)"""
 
 
@@ -76,19 +76,19 @@ def canonical_signature(s: Shapes):
 
 
 @query(f"""{_GROUPS} SELECT g.cell_task, g.signature_id, g.robot_type, g.recordings,
-  row_number() OVER (PARTITION BY g.cell_task ORDER BY g.recordings DESC, g.signature_id) - 1 AS position,
-  k.signature_id = g.signature_id AS keep_in_source,
-  CASE WHEN k.signature_id = g.signature_id THEN g.cell_task
+  row_number() OVER (PARTITION BY g.cell_task ORDER BY g.recordings DESC, g.digest) - 1 AS position,
+  k.digest = g.digest AS keep_in_source,
+  CASE WHEN k.digest = g.digest THEN g.cell_task
     ELSE g.cell_task || '__' || replace(g.robot_type, '#', '_') || '__' || g.signature_id END AS destination
 FROM groups g JOIN kept k ON k.cell_task = g.cell_task""")
 def signature_groups(s: Shapes):
     return conversion.signature_groups(s.recordings)
 
 
-@query(f"{_GROUPS} SELECT cell_task, signature_id AS keep FROM kept")
+@query(f"{_GROUPS} SELECT cell_task, digest AS keep FROM kept")
 def top_group(s: Shapes):
     signed = conversion.with_signature(s.recordings).where("signature_id is not null")
-    return conversion.top_group(signed.groupBy("cell_task", "signature_id").agg(
+    return conversion.top_group(signed.groupBy("cell_task", "signature_digest").agg(
         F.count("*").alias("recordings"), F.min("serial").alias("first_serial")))
 
 
@@ -551,17 +551,17 @@ def active_tasks(s: Shapes):
 
 @query(f"""
 WITH totals AS (SELECT task AS cell_task, count(*) FILTER (kind < 6) AS total, count(*) FILTER (kind < 2) AS done FROM log_facts GROUP BY task),
-live AS (SELECT * FROM ({_LIVE}) WHERE log = 'error'),
-shown AS (SELECT t.*, CASE WHEN l.phase = 'converting' AND l.recording_total > 0 AND l.recording_index IS NOT NULL AND t.total > 0
-    THEN least(t.total, greatest(t.done, greatest(0, t.total - l.recording_total) + greatest(0, l.recording_index - 1))) ELSE t.done END AS live_done
-  FROM totals t LEFT JOIN live l ON l.task = t.cell_task)
+live AS (SELECT * FROM ({_LIVE})),
+shown AS (SELECT t.cell_task, t.total, t.done, max(CASE WHEN l.phase = 'converting' AND l.recording_total > 0 AND l.recording_index IS NOT NULL AND t.total > 0
+    THEN least(t.total, greatest(t.done, greatest(0, t.total - l.recording_total) + greatest(0, l.recording_index - 1))) ELSE t.done END) AS live_done
+  FROM totals t LEFT JOIN live l ON l.task = t.cell_task GROUP BY ALL)
 SELECT cell_task, total, done, live_done, CASE WHEN total > 0 THEN CAST(floor(live_done * 100.0 / total + 0.5) AS BIGINT) ELSE 0 END AS percent FROM shown""")
 def live_done(s: Shapes):
     own = live.task_events(_events(s))
     progress = own.groupBy(F.col("task").alias("cell_task")).agg(
         F.count_if(~F.col("type").isin("finalizing", "finalized")).alias("total"),
         F.count_if(F.col("type") == "converted").alias("done"))
-    now = live.live_progress(_events(s).where("log = 'error'"))
+    now = live.live_progress(_events(s))
     return live.live_done(progress, now).select("cell_task", "total", "done", "live_done", "percent")
 
 

@@ -326,13 +326,12 @@ def instruction_apply_tasks(s: Shapes):
     return _applied(s)[0]
 
 
-@query(f"""{_PREVIEW}, renames AS (SELECT dataset_key, current_task_index AS task_index, any_value(instruction) AS task FROM preview
-  WHERE action = 'shared' AND instruction = 'wipe en' GROUP BY ALL)
+@query(f"""{_PREVIEW}, renames AS (SELECT dataset_key, current_task_index AS task_index, min(instruction) AS task FROM preview
+  WHERE action = 'shared' GROUP BY ALL HAVING min(instruction) = max(instruction))
 SELECT t.dataset_key, t.task_index, coalesce(r.task, t.task) AS task FROM tasks t
 LEFT JOIN renames r ON r.dataset_key = t.dataset_key AND r.task_index = t.task_index""")
 def instruction_shared_rename(s: Shapes):
-    one = _preview(s).where("instruction = 'wipe en'").dropDuplicates(["dataset_key", "current_task_index"])
-    return tasks.apply_shared_rename(s.tasks, s.episodes, one)[0]
+    return tasks.apply_shared_rename(s.tasks, s.episodes, _preview(s))[0]
 
 
 @query("""
@@ -395,7 +394,7 @@ def changed_datasets(s: Shapes):
 
 
 @query("""SELECT id, type, status, dataset_id FROM jobs WHERE type = 'merge' AND status = 'queued'
-AND updated_at >= TIMESTAMP '1997-06-01' ORDER BY id DESC LIMIT 100""")
+AND updated_at >= TIMESTAMP '1997-06-01' ORDER BY id DESC""")
 def list_jobs(s: Shapes):
     out = registry.list_jobs(s.jobs, type="merge", status="queued", since="1997-06-01 00:00:00")
     return out.select("id", "type", "status",

@@ -194,7 +194,8 @@ def grade_update_rules(s: Shapes):
 @query(f"""
 WITH ready AS (SELECT b.serial_number, u.grade, u.tags, CASE WHEN u.grade IN ('bad', 'normal') THEN u.reason END AS reason
   FROM ({_UPDATES}) u JOIN bridge b ON b.dataset_key = u.dataset_key AND b.episode_index = u.episode_index
-  WHERE u.dataset_key <= 'src19' AND (u.grade IS NULL OR u.grade = 'good' OR (u.grade IN ('bad', 'normal') AND trim(u.reason) <> '')))
+  WHERE u.grade IS NULL OR u.grade = 'good' OR (u.grade IN ('bad', 'normal') AND trim(u.reason) <> '')
+  QUALIFY row_number() OVER (PARTITION BY b.serial_number ORDER BY u.dataset_key DESC, u.episode_index DESC) = 1)
 SELECT coalesce(r.serial_number, a.serial_number) AS serial_number,
   CASE WHEN r.serial_number IS NOT NULL THEN r.grade ELSE a.grade END AS grade,
   CASE WHEN r.serial_number IS NOT NULL THEN r.reason ELSE a.reason END AS reason,
@@ -202,8 +203,7 @@ SELECT coalesce(r.serial_number, a.serial_number) AS serial_number,
     WHEN r.serial_number IS NOT NULL THEN coalesce(a.tags, CAST([] AS VARCHAR[])) ELSE a.tags END, '|') AS tags
 FROM ready r FULL JOIN annotations a ON a.serial_number = r.serial_number""")
 def apply_grade_updates(s: Shapes):
-    rows = _updates(s).where("dataset_key <= 'src19'")
-    return ann.apply_grade_updates(s.annotations, rows, s.bridge).select(
+    return ann.apply_grade_updates(s.annotations, _updates(s), s.bridge).select(
         "serial_number", "grade", "reason", joined("tags").alias("tags"))
 
 
@@ -379,7 +379,7 @@ def episode_ranges(s: Shapes):
       CASE WHEN start = "end" THEN CAST(start AS VARCHAR) ELSE start || '-' || "end" END AS label
     FROM ({_ISLANDS})) GROUP BY ALL""")
 def episode_ranges_text(s: Shapes):
-    return ep.episode_ranges_text(_chosen(s))
+    return ep.episode_ranges_text(_chosen(s), per_line=1000)
 
 
 # --- distributions -----------------------------------------------------------------

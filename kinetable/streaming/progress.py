@@ -123,7 +123,10 @@ def active_tasks(events: DataFrame, log: str = "log", pos: str = "line_no") -> D
 
 
 def live_done(progress: DataFrame, live: DataFrame) -> DataFrame:
-    """Progress with the done count a running task shows, and its percentage."""
+    """Progress with the done count a running task shows, and its percentage.
+
+    A task that several logs run shows the farthest of them.
+    """
     now = live.select(
         F.col("task").alias("cell_task"), "phase", "recording_index", "recording_total")
     rows = progress.join(now, "cell_task", "left")
@@ -133,7 +136,8 @@ def live_done(progress: DataFrame, live: DataFrame) -> DataFrame:
         F.col("recording_index").isNotNull()) & (F.col("total") > 0)
     shown = F.when(moving, F.least(F.col("total"), F.greatest(F.col("done"), projected))).otherwise(
         F.col("done"))
-    return rows.withColumn("live_done", shown).withColumn(
+    farthest = rows.groupBy(*progress.columns).agg(F.max(shown).alias("live_done"))
+    return farthest.withColumn(
         "percent", F.when(F.col("total") > 0, F.floor(F.col("live_done") / F.col("total") * 100 + 0.5))
         .otherwise(F.lit(0).cast("bigint")))
 

@@ -119,7 +119,7 @@ def test_slug_and_paths(spark):
 def test_ranges_text(spark):
     ids = [0, 1, 2, 3, 7, 9, 10]
     df = spark.createDataFrame([("d", i) for i in ids], "dataset_key string, episode_index long")
-    assert ep.episode_ranges_text(df).first().ranges == "0-3, 7, 9-10"
+    assert ep.episode_ranges_text(df, per_line=1000).first().ranges == "0-3, 7, 9-10"
 
 
 def test_grade_updates(spark):
