@@ -83,15 +83,16 @@ def has_letter(text: str | None) -> bool:
 
 def _landmarks(rows: DataFrame, count: int, chars: int) -> list[tuple[str, str]]:
     """Whole texts spread over the languages, chosen by hash: the same number of each, ``count`` at most."""
-    fit = rows.where((F.length("text") <= chars) & (F.length("text") >= 40))
+    fit = rows.where(F.length("text").between(1, chars))
     languages = fit.select("lang").distinct().orderBy("lang").limit(count)
     each = max(1, count // max(1, languages.count()))
-    ids = fit.select("lang", F.xxhash64("text").alias("h")).join(F.broadcast(languages), "lang").distinct()
+    # those of 40 characters or more first: a short text spans little
+    ids = fit.select("lang", F.xxhash64("text").alias("h"), (F.length("text") < 40).alias("short")).join(F.broadcast(languages), "lang").distinct()
     # first by a share of the hash range within each language, so that no task ranks a whole language
     block = F.pmod("h", F.lit(1024))
-    inside = Window.partitionBy("lang", "block").orderBy("h")
-    short = ids.withColumn("block", block).withColumn("r", F.row_number().over(inside)).where(F.col("r") <= each)
-    ranked = short.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("block", "h")))
+    inside = Window.partitionBy("lang", "block").orderBy("short", "h")
+    first = ids.withColumn("block", block).withColumn("r", F.row_number().over(inside)).where(F.col("r") <= each)
+    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("short", "block", "h")))
     chosen = ranked.where(F.col("r") <= each).select("lang", "h")
     texts = fit.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])
     return sorted((r.lang, r.text) for r in texts.select("lang", "text").collect())

@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.01"
 
 def test_kernel_is_the_share_of_common_grams(spark):
     a, b = langid.gram_set("Ab ab"), langid.gram_set("ab")
-    assert len(a) == 3 + 4 + 4 and len(b) == 3 + 3 + 2  # grams of " ab ab " and " ab "
+    assert len(a) == 3 + 3 + 3 and len(b) == 3 + 3 + 2  # grams of " ab ab " and " ab "
     rows = spark.createDataFrame([(f"the of and to {i} is that was for with the", "en") for i in range(20)]
                                  + [(f"der die das und {i} ist nicht ein mit von", "de") for i in range(5)], "text string, lang string")
     model = langid.fit(rows)
