@@ -36,3 +36,11 @@ def test_stages_take_empty_tables_and_null_columns(spark, tmp_path):
             stage(spark, docs, FOLDER).write.parquet(str(tmp_path / f"{k}-{i}"))
             docs = spark.read.parquet(str(tmp_path / f"{k}-{i}"))
         assert "root" in docs.columns
+
+
+def test_last_stage_decodes(spark):
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert "decoding" in name
+    rows = [(1, "two  words ▁ \U0001f600"), (2, ""), (3, None)]
+    out = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER).collect()
+    assert len(out) == 3 and all(r.round_trip for r in out)
