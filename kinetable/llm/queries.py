@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import density, langid, licenses, mixing, phrases, pieces, rules, simhash, suffixes, urls
+from kinetable.llm import density, langid, licenses, mixing, phrases, pieces, rules, simhash, spellings, suffixes, urls
 from kinetable.llm.registry import QUERIES, query, read
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -147,3 +147,8 @@ def op9_sentencepiece(docs: DataFrame) -> DataFrame:
     """Every text as pieces, and whether they give the text again."""
     found = pieces.encoded(docs, ["doc_id"], path=VOCABULARY_FILE, verify=True)
     return found.withColumn("n_pieces", F.size("ids").cast("long"))
+
+
+@query("documents")
+def op11_spelling_variants(docs: DataFrame) -> DataFrame:
+    return spellings.variants(spellings.vocabulary(spellings.misspelt_runs(docs)))
