@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import density, langid, licenses, mixing, phrases, pieces, rules, simhash, spellings, suffixes, urls
+from kinetable.llm import (
+    captures, density, langid, licenses, mixing, phrases, pieces, rules, simhash, spellings, suffixes, urls,
+)
 from kinetable.llm.registry import QUERIES, query, read
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -152,3 +154,19 @@ def op9_sentencepiece(docs: DataFrame) -> DataFrame:
 @query("documents")
 def op11_spelling_variants(docs: DataFrame) -> DataFrame:
     return spellings.variants(spellings.vocabulary(spellings.misspelt_runs(docs)))
+
+
+@query("pages", sql="""
+WITH d AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest),
+j AS (SELECT d.*, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers FROM d LEFT JOIN f USING (digest))
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN refers IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers AS refers_to FROM j
+""")
+def op12_warc_captures(pages: DataFrame) -> DataFrame:
+    """Pages written as records, and read back through the index."""
+    archive = captures.write(pages, captures.new_folder(pages.sparkSession))
+    rows = captures.captured(archive, pages, payloads=False)
+    return rows.select(
+        F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"), F.col("refers").alias("refers_to"))
