@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetable.llm import (
-    captures, density, langid, licenses, mixing, phrases, pieces, rules, simhash, spellings, suffixes, urls,
+    captures, density, dialogues, langid, licenses, mixing, phrases, pieces, rules, simhash, spellings, suffixes, urls,
 )
 from kinetable.llm.registry import QUERIES, query, read
 
@@ -170,3 +170,14 @@ def op12_warc_captures(pages: DataFrame) -> DataFrame:
     return rows.select(
         F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"), F.col("refers").alias("refers_to"))
+
+
+@query("conversations")
+def op13_conversation_repair(rows: DataFrame) -> DataFrame:
+    """Damaged conversations, their faults and cheapest repairs; those that lost all turns have nothing to say."""
+    found = dialogues.repaired(dialogues.damaged(rows)).drop("turns").withColumnRenamed("conv_id", "found_id").withColumn("there", F.lit(True))
+    ids = rows.select("conv_id").distinct()
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return ids.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")) & F.col("there"), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
