@@ -36,12 +36,33 @@ def canonical_digest(contract: Column) -> Column:
 
 
 def value_label(column: Column, dtype: T.DataType) -> Column:
-    """Text of a value as a category label; booleans are spelled True and False."""
+    """Text of a value as a category label; booleans are spelled True and False, doubles as `double_text` has them."""
     if isinstance(dtype, T.BooleanType):
         return F.when(column, "True").when(~column, "False")
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return double_text(column.cast("double"))
     return column.cast("string")
 
 
+def double_text(value: Column) -> Column:
+    """Text of a double: plain from 0.0001 to under 1e16, else with a signed exponent of two digits or more."""
+    text = value.cast("string")
+    shape = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
+    part = lambda i: F.regexp_extract(text, shape, i)
+    sign, first, power = part(1), part(2), part(4).try_cast("int")
+    rest = F.regexp_replace(part(3), "0+$", "")
+    digits, after = F.concat(first, rest), F.length(rest) - power
+    whole = F.concat(F.rpad(digits, F.greatest(power + 1, F.length(digits)), F.lit("0")), F.lit(""))
+    plain = F.when(after <= 0, F.concat(whole, F.lit(".0"))).otherwise(
+        F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits))))
+    exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(
+        F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    wide = F.concat(first, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""), exponent)
+    special = F.when(F.isnan(value), "nan").when(text == "Infinity", "inf").when(text == "-Infinity", "-inf")
+    return F.coalesce(special, F.when(~text.rlike("E"), text).otherwise(F.concat(sign, F.when(
+        power == -4, F.concat(F.lit("0.000"), digits)).when((power >= 0) & (power < 16), plain).otherwise(wide))))
+
+
 def one_decimal(value: Column) -> Column:
     """One decimal, ties to the even digit; values of twenty digits or more as they are."""
     rounded = F.bround(value.try_cast("decimal(38,18)"), 1).try_cast("decimal(38,1)").cast("string")

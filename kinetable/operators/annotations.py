@@ -11,8 +11,10 @@ from kinetable.functions.grades import (
     clean_tags, grade_norm, has_grade, kept_reason, valid_grade_update,
 )
 from kinetable.functions.serials import serial_join_key
+from kinetable.operators.episodes import latest_rows
 
 EP = ("dataset_key", "episode_index")
+SHARD_PLACE = ("shard_path", "shard_row")
 
 
 def _empty_tags() -> Column:
@@ -101,12 +103,20 @@ def resolve_export(episodes: DataFrame, by_index: DataFrame) -> DataFrame:
     return both.withColumn("grade", F.coalesce("by_index.grade", "grade")).drop("by_index")
 
 
+def last_of_shards(episodes: DataFrame) -> DataFrame:
+    """One row per episode, the last by shard; rows without a place in a shard are as they are."""
+    if not set(SHARD_PLACE) <= set(episodes.columns):
+        return episodes
+    return latest_rows(episodes, EP, SHARD_PLACE)
+
+
 def first_serial_owner(episodes: DataFrame, order: Sequence[str] = ("episode_index",)) -> DataFrame:
     """Serial bridge: the first episode of each non-empty serial in a dataset."""
     named = episodes.where(F.coalesce(F.col("Serial_number") != "", F.lit(False)))
+    # a single number as order keeps this a hash aggregate
+    first = F.min("episode_index") if tuple(order) == ("episode_index",) else F.min_by("episode_index", F.struct(*order))
     return named.groupBy("dataset_key", F.col("Serial_number").alias("serial_number")).agg(
-        F.min_by("episode_index", F.struct(*order)).alias("episode_index")
-    ).select(*EP, "serial_number")
+        first.alias("episode_index")).select(*EP, "serial_number")
 
 
 def resolve_summary(
@@ -116,13 +126,17 @@ def resolve_summary(
     """Summary policy: stored grade, then a non-null legacy one, then the serial's annotation.
 
     Only the first episode of a serial takes its annotation; a NULL grade there clears.
+    Of rows that share an id the last by shard counts, but each may own a serial;
+    episodes that only the legacy annotations know stay, with their grade alone.
     """
+    if set(SHARD_PLACE) <= set(episodes.columns):
+        order = SHARD_PLACE
     old = legacy.where(F.col("grade").isNotNull()).select(*EP, F.col("grade").alias("_legacy"))
     owned = first_serial_owner(episodes, order).join(
         annotations.select("serial_number", F.struct("grade").alias("_ann")), "serial_number"
     ).select(*EP, "_ann")
     return (
-        episodes.join(old, list(EP), "left").join(owned, list(EP), "left")
+        last_of_shards(episodes).join(old, list(EP), "full_outer").join(owned, list(EP), "left")
         .withColumn("grade", F.when(F.col("_ann").isNotNull(), F.col("_ann.grade")).otherwise(
             F.coalesce("_legacy", "grade")))
         .drop("_legacy", "_ann")

@@ -50,9 +50,13 @@ def with_length_bin(df: DataFrame, field: str, bins: int = BINS) -> DataFrame:
     )
 
 
+def _with_total(counted: DataFrame, df: DataFrame) -> DataFrame:
+    """Add the number of all rows of the dataset."""
+    return counted.join(df.groupBy(_KEY).agg(F.count("*").alias("total")), _KEY)
+
+
 def dist_histogram(df: DataFrame, field: str, bins: int = BINS) -> DataFrame:
     """Counts per equal-width bin, empty bins left out, with the dataset's row total."""
-    totals = df.groupBy(_KEY).agg(F.count("*").alias("total"))
     counted = (
         with_length_bin(df.select(_KEY, field), field, bins).where(F.col("bin").isNotNull())
         .groupBy(_KEY, "bin")
@@ -61,14 +65,14 @@ def dist_histogram(df: DataFrame, field: str, bins: int = BINS) -> DataFrame:
     )
     label = F.when(F.col("bin_lo") == F.col("bin_hi"), F.col("bin_lo").cast("string")).otherwise(
         F.concat_ws("-", one_decimal(F.col("bin_lo")), one_decimal(F.col("bin_hi"))))
-    return counted.withColumn("label", label).join(totals, _KEY)
+    return _with_total(counted.withColumn("label", label), df)
 
 
 def dist_categorical(df: DataFrame, field: str) -> DataFrame:
-    """Counts per value as text; NULL is its own label."""
+    """Counts per value as text; NULL is its own label. With the dataset's row total."""
     dtype = df.schema[field].dataType
     label = F.coalesce(value_label(F.col(field), dtype), F.lit(NULL_LABEL))
-    return df.groupBy(_KEY, label.alias("label")).agg(F.count("*").alias("count"))
+    return _with_total(df.groupBy(_KEY, label.alias("label")).agg(F.count("*").alias("count")), df)
 
 
 def dist_auto(df: DataFrame, field: str, chart: str = "auto") -> DataFrame:
@@ -82,13 +86,13 @@ def dist_auto(df: DataFrame, field: str, chart: str = "auto") -> DataFrame:
 
 
 def dist_grade(resolved: DataFrame) -> DataFrame:
-    """Counts per normalised grade; only NULL and '' are ungraded."""
-    return resolved.groupBy(_KEY, grade_label(F.col("grade")).alias("label")).agg(
-        F.count("*").alias("count"))
+    """Counts per normalised grade and the total; only NULL and '' are ungraded."""
+    return _with_total(resolved.groupBy(_KEY, grade_label(F.col("grade")).alias("label")).agg(
+        F.count("*").alias("count")), resolved)
 
 
 def dist_tags(resolved: DataFrame) -> DataFrame:
-    """Counts per tag, repeats inside an episode included, plus the untagged episodes.
+    """Counts per tag, repeats inside an episode included, plus the untagged episodes, and the total of episodes.
 
     When some episode has no tags, that count takes the place of a real tag of
     the same name.
@@ -103,16 +107,23 @@ def dist_tags(resolved: DataFrame) -> DataFrame:
     ).select(_KEY, "_t.label", "_t.untagged")
     counted = labels.groupBy(_KEY, "label").agg(
         F.count_if(F.col("untagged")).alias("_none"), F.count_if(~F.col("untagged")).alias("_real"))
-    return counted.select(
+    return _with_total(counted.select(
         _KEY, "label",
         F.when(is_none & (F.col("_none") > 0), F.col("_none")).otherwise(F.col("_real")).alias("count"),
-    )
+    ), resolved)
 
 
 def dist_collection_date(df: DataFrame) -> DataFrame:
-    """Episodes per collection date."""
-    return df.groupBy(_KEY, collection_date(F.col("Serial_number")).alias("label")).agg(
-        F.count("*").alias("count"))
+    """Episodes per collection date and the total of those counted.
+
+    An absent column is not a missing date: rows whose shard has no serials (``shard_columns``) are left out.
+    """
+    serial = F.col("Serial_number") if "Serial_number" in df.columns else F.lit(None).cast("string")
+    if "shard_columns" in df.columns:
+        df = df.where(F.array_contains("shard_columns", "Serial_number"))
+    elif "Serial_number" not in df.columns:
+        df = df.limit(0)
+    return _with_total(df.groupBy(_KEY, collection_date(serial).alias("label")).agg(F.count("*").alias("count")), df)
 
 
 def bin_grade_crosstab(df: DataFrame, field: str = "length") -> DataFrame:

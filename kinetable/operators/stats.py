@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinetable.functions.grades import grade_key, grade_norm, has_grade
 from kinetable.model import GRADES, UNGRADED
-from kinetable.operators.annotations import EP
+from kinetable.operators.annotations import EP, last_of_shards
 
 STAT_COLUMNS = (
     "graded_count", "good_count", "normal_count", "bad_count", "total_duration_sec",
@@ -16,13 +16,22 @@ STAT_COLUMNS = (
 
 
 def _frames(df: DataFrame) -> Column:
-    """Stored length, else the frame range, else 0."""
-    if "length" in df.columns:
-        return F.coalesce(F.col("length").cast("bigint"), F.lit(0))
-    if {"dataset_from_index", "dataset_to_index"} <= set(df.columns):
-        span = F.coalesce("dataset_to_index", F.lit(0)) - F.coalesce("dataset_from_index", F.lit(0))
-        return F.greatest(span, F.lit(0))
-    return F.lit(0)
+    """Stored length, else the frame range, else 0.
+
+    Rows that know the columns of their shard (``shard_columns``) are judged by these: a length that is NULL counts 0,
+    a shard without lengths has its ranges.
+    """
+    whole = lambda name: F.coalesce(F.col(name).cast("bigint"), F.lit(0))
+    span = lambda: F.greatest(whole("dataset_to_index") - whole("dataset_from_index"), F.lit(0))
+    sources = [(("length",), lambda: whole("length")), (("dataset_from_index", "dataset_to_index"), span)]
+    here = [(names, value) for names, value in sources if set(names) <= set(df.columns)]
+    if "shard_columns" not in df.columns:
+        return here[0][1]() if here else F.lit(0)
+    found = F.lit(0)
+    for names, value in reversed(here):
+        has = F.size(F.array_intersect("shard_columns", F.array(*[F.lit(n) for n in names]))) == len(names)
+        found = F.when(has, value()).otherwise(found)
+    return found
 
 
 def dataset_grade_summary(resolved: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -51,8 +60,9 @@ def refresh_stats(
 ) -> DataFrame:
     """Cached statistics: exact grades over owned serials, seconds of annotated episodes only.
 
-    Without a positive frame rate all seconds are 0.
+    Without a positive frame rate all seconds are 0. Of rows that share an id the last by shard counts.
     """
+    episodes = last_of_shards(episodes)
     owned = bridge.join(
         annotations.select("serial_number", "grade", F.lit(True).alias("annotated")),
         "serial_number", "left",

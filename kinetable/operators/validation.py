@@ -29,8 +29,11 @@ class DatasetTables:
     total_frames, features, video_path (see the catalog source), or NULLs where the
     info document cannot be read.
     ``shards``: ``(dataset_key, kind, path, columns)`` from the file footers, kind
-    episodes, data or tasks. ``files``: ``(dataset_key, path, size)``.
-    ``tasks``, ``episodes``, ``frames``: rows of all datasets.
+    episodes, data or tasks; with ``rows`` too, nothing is read to count rows, and with
+    ``error`` unreadable files are told. ``files``: ``(dataset_key, path, size)``.
+    ``tasks``, ``episodes``, ``frames``: rows of all datasets. Episodes may say which
+    columns their shard has (``shard_columns``). ``folders``: ``(dataset_key,
+    dataset_path, there, episode_folder, data_folder)``, if datasets are folders.
     """
 
     catalog: DataFrame
@@ -39,6 +42,14 @@ class DatasetTables:
     tasks: DataFrame
     episodes: DataFrame
     frames: DataFrame
+    folders: DataFrame | None = None
+
+
+def row_counts(tables: DatasetTables, kind: str, rows: DataFrame, name: str) -> DataFrame:
+    """Rows per dataset: by the footers if they are known, else counted."""
+    if "rows" not in tables.shards.columns:
+        return rows.groupBy(KEY).agg(F.count("*").alias(name))
+    return tables.shards.where(F.col("kind") == kind).groupBy(KEY).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias(name))
 
 
 def range_tiling(episodes: DataFrame, totals: DataFrame) -> DataFrame:
@@ -126,6 +137,11 @@ def frame_references(
 
 def episode_task_sets(episodes: DataFrame, tasks: DataFrame) -> DataFrame:
     """Task indexes of each episode; ``task_index`` is NULL for an unknown or missing text."""
+    if "shard_columns" in episodes.columns and {"task_index", "tasks"} <= set(episodes.columns):
+        # shards differ: each is judged by the column it has
+        indexed = F.array_contains("shard_columns", "task_index")
+        return episode_task_sets(episodes.where(indexed).drop("tasks", "shard_columns"), tasks).unionByName(
+            episode_task_sets(episodes.where(~indexed).drop("task_index", "shard_columns"), tasks))
     if "task_index" in episodes.columns:
         return episodes.select(KEY, "episode_index", "task_index", F.lit(None).cast("string").alias("task"))
     texts = episodes.select(KEY, "episode_index", F.explode_outer("tasks").alias("task"))
@@ -188,7 +204,7 @@ def _lacking(columns: Column, required: tuple[str, ...]) -> Column:
     return F.array_sort(F.array_except(F.array(*[F.lit(c) for c in required]), columns))
 
 
-def _rule(df: DataFrame, number: int, name: str, passed: Column, message: Column | str) -> DataFrame:
+def _rule(df: DataFrame, number: float, name: str, passed: Column, message: Column | str) -> DataFrame:
     text = F.lit(message) if isinstance(message, str) else message
     ok = F.coalesce(passed, F.lit(False))
     return df.select(KEY, F.lit(number).alias("rule_no"), F.lit(name).alias("rule"),
@@ -222,20 +238,20 @@ def quick_rules(tables: DatasetTables) -> DataFrame:
         F.min_by(F.struct("path", "_lack"), F.when(
             (F.col("kind") == kind) & (F.col("_lack") != ""), F.col("path"))).alias(f"{kind}_lack")
         for kind in ("tasks", "episodes", "data")])
-    count = lambda df, name: df.groupBy(KEY).agg(F.count("*").alias(name))
-    data_rows = count(tables.frames, "data_rows")
+    count = lambda kind, name: row_counts(tables, kind, getattr(tables, "frames" if kind == "data" else kind), name)
+    data_rows = count("data", "data_rows")
     tiling = range_tiling(tables.episodes, data_rows)
     row = (
         base.join(files, KEY, "left").join(shards, KEY, "left")
-        .join(count(tables.tasks, "task_rows"), KEY, "left")
-        .join(count(tables.episodes, "episode_rows"), KEY, "left")
+        .join(count("tasks", "task_rows"), KEY, "left")
+        .join(count("episodes", "episode_rows"), KEY, "left")
         .join(tiling, KEY, "left")
         .na.fill(0, ["info_files", "task_files", "episode_files", "data_files", "video_files",
                      "task_rows", "episode_rows", "data_rows", "broken", "gaps", "range_end"])
     )
     no_lack = lambda kind: F.col(f"{kind}_lack").isNull()
     lack_text = lambda kind: F.format_string(
-        f"{kind} parquet %s missing columns %s", F.col(f"{kind}_lack.path"), F.col(f"{kind}_lack._lack"))
+        f"{kind.removesuffix('s')} parquet %s missing columns %s", F.col(f"{kind}_lack.path"), F.col(f"{kind}_lack._lack"))
     video_features = F.exists(
         F.coalesce(F.map_values("features"), F.array().cast(
             "array<struct<dtype:string,shape:array<bigint>,names:array<string>>>")),
@@ -288,6 +304,33 @@ def _stack(row: DataFrame, rules: list, first_no: int) -> DataFrame:
         "message", F.when(~F.col("passed"), F.col("message")))
 
 
+def folder_rules(tables: DatasetTables) -> DataFrame:
+    """What can be wrong before a file is read: folders that are missing and files without a footer.
+
+    Numbers place them between the quick rules; of a file that can't be read and one that lacks columns the first
+    by path speaks.
+    """
+    unreadable = tables.shards.where(F.col("error").isNotNull())
+    lacking = tables.shards.where(F.col("error").isNull() & (F.col("kind") == "episodes") & (F.array_join(F.concat(
+        _lacking(F.col("columns"), REQUIRED_EPISODE_COLUMNS), F.when(
+            F.arrays_overlap("columns", F.array(F.lit("task_index"), F.lit("tasks"))), F.array().cast("array<string>")
+        ).otherwise(F.array(F.lit("task_index")))), "") != "")).groupBy(KEY).agg(F.min("path").alias("lack"))
+    first = unreadable.groupBy(KEY).agg(*[
+        F.min(F.when(F.col("kind") == kind, F.struct("path", "error"))).alias(kind) for kind in ("tasks", "episodes", "data")])
+    row = tables.folders.join(first, KEY, "left").join(lacking, KEY, "left")
+    text = lambda kind: F.format_string(
+        f"could not read {kind.removesuffix('s')} parquet %s (%s)", F.col(f"{kind}.path"), F.col(f"{kind}.error"))
+    rules = [
+        (0.5, "dataset_folder", F.col("there"), F.concat(F.lit("missing dataset directory "), "dataset_path")),
+        (2.4, "episode_folder", F.col("episode_folder"), "missing required directory meta/episodes"),
+        (2.6, "data_folder", F.col("data_folder"), "missing required directory data"),
+        (6.5, "task_readable", F.col("tasks").isNull(), F.format_string("could not read meta/tasks.parquet (%s)", "tasks.error")),
+        (8.5, "episode_readable", F.col("episodes").isNull() | F.coalesce(F.col("lack") < F.col("episodes.path"), F.lit(False)), text("episodes")),
+        (9.5, "data_readable", F.col("data").isNull(), text("data")),
+    ]
+    return reduce(DataFrame.unionByName, [_rule(row, *r) for r in rules])
+
+
 def full_rules(tables: DatasetTables) -> DataFrame:
     """Rules beyond the quick ones: tasks, frame references and video files."""
     sets = episode_task_sets(tables.episodes, tables.tasks)
@@ -317,12 +360,11 @@ def full_rules(tables: DatasetTables) -> DataFrame:
     return _stack(row, rules, 101)
 
 
-def verdict(rules: DataFrame, mode: str, episodes: DataFrame) -> DataFrame:
-    """Status and summary per dataset: the first failed rule, or passed."""
+def verdict(rules: DataFrame, mode: str, rows: DataFrame) -> DataFrame:
+    """Status and summary per dataset: the first failed rule, or passed. ``rows``: ``(dataset_key, _rows)``."""
     failed = ~F.col("passed")
     per = rules.groupBy(KEY).agg(
         F.min_by("message", F.when(failed, F.col("rule_no"))).alias("_m"), F.count_if(failed).alias("_n"))
-    rows = episodes.groupBy(KEY).agg(F.count("*").alias("_rows"))
     passed = F.format_string(f"{mode} passed: %d episodes, 0 warnings", F.coalesce("_rows", F.lit(0)))
     return per.join(rows, KEY, "left").select(
         KEY, F.when(F.col("_n") == 0, "passed").otherwise("failed").alias("status"),
@@ -330,8 +372,13 @@ def verdict(rules: DataFrame, mode: str, episodes: DataFrame) -> DataFrame:
             F.concat(F.lit(f"{mode} failed: "), "_m")).alias("summary"))
 
 
+def _all_quick(tables: DatasetTables) -> DataFrame:
+    rules = quick_rules(tables)
+    return rules if tables.folders is None else rules.unionByName(folder_rules(tables))
+
+
 def quick_validate(tables: DatasetTables) -> DataFrame:
-    return verdict(quick_rules(tables), "Quick", tables.episodes)
+    return verdict(_all_quick(tables), "Quick", row_counts(tables, "episodes", tables.episodes, "_rows"))
 
 
 def full_validate(tables: DatasetTables) -> DataFrame:
@@ -339,8 +386,8 @@ def full_validate(tables: DatasetTables) -> DataFrame:
 
     No loader is run on the files, so the best outcome is partial.
     """
-    rules = quick_rules(tables).unionByName(full_rules(tables))
+    rules = _all_quick(tables).unionByName(full_rules(tables))
     sound = F.col("status") == "passed"
-    return verdict(rules, "Full", tables.episodes).select(
+    return verdict(rules, "Full", row_counts(tables, "episodes", tables.episodes, "_rows")).select(
         KEY, F.when(sound, "partial").otherwise(F.col("status")).alias("status"),
         F.when(sound, LOADER_SKIPPED).otherwise(F.col("summary")).alias("summary"))

@@ -1,7 +1,7 @@
 """All registered queries."""
 
 from kinetable.plans import (  # noqa: F401
-    conversion_queries, dataset_queries, episode_queries, frame_queries, source_queries,
+    conversion_queries, dataset_queries, episode_queries, folder_queries, frame_queries, source_queries,
     validation_queries,
 )
 from kinetable.plans.registry import CHECKS, QUERIES

@@ -399,7 +399,8 @@ def dist_histogram(s: Shapes):
         "dataset_key", "bin", "count", "total", r6("bin_lo").alias("bin_lo"), r6("bin_hi").alias("bin_hi"))
 
 
-@query("SELECT dataset_key, coalesce(grade, '(null)') AS label, count(*) AS count FROM episodes GROUP BY ALL")
+@query("""SELECT dataset_key, coalesce(grade, '(null)') AS label, count(*) AS count,
+  CAST(sum(count(*)) OVER (PARTITION BY dataset_key) AS BIGINT) AS total FROM episodes GROUP BY dataset_key, grade""")
 def dist_categorical(s: Shapes):
     return dist.dist_categorical(s.episodes, "grade")
 
@@ -418,7 +419,7 @@ def dist_auto(s: Shapes):
 
 
 @query(f"""SELECT dataset_key, CASE WHEN grade IS NULL OR grade = '' THEN '(ungraded)' ELSE lower(trim(grade)) END AS label,
-  count(*) AS count FROM ({_DIST}) GROUP BY ALL""")
+  count(*) AS count, CAST(sum(count(*)) OVER (PARTITION BY dataset_key) AS BIGINT) AS total FROM ({_DIST}) GROUP BY dataset_key, label""")
 def dist_grade(s: Shapes):
     return dist.dist_grade(distribution(s))
 
@@ -427,14 +428,16 @@ def dist_grade(s: Shapes):
 WITH rows AS ({_DIST}),
 named AS (SELECT dataset_key, tag AS label, count(*) AS count FROM (SELECT dataset_key, unnest(tags) AS tag FROM rows) GROUP BY ALL),
 bare AS (SELECT dataset_key, count(*) AS n FROM rows WHERE len(tags) = 0 GROUP BY ALL)
-SELECT n.dataset_key, label, count FROM named n LEFT JOIN bare b ON b.dataset_key = n.dataset_key AND label = '(no tags)'
-WHERE b.n IS NULL UNION ALL SELECT dataset_key, '(no tags)', n FROM bare""")
+SELECT x.dataset_key, label, count, total FROM (
+  SELECT n.dataset_key, label, count FROM named n LEFT JOIN bare b ON b.dataset_key = n.dataset_key AND label = '(no tags)'
+  WHERE b.n IS NULL UNION ALL SELECT dataset_key, '(no tags)', n FROM bare) x
+JOIN (SELECT dataset_key, count(*) AS total FROM rows GROUP BY dataset_key) t ON t.dataset_key = x.dataset_key""")
 def dist_tags(s: Shapes):
     return dist.dist_tags(distribution(s))
 
 
 @query(f"""SELECT dataset_key, coalesce({_date_sql("replace(replace(trim(serial), '-', ''), '_', '')")}, '(unknown)') AS label,
-  count(*) AS count FROM episodes GROUP BY ALL""")
+  count(*) AS count, CAST(sum(count(*)) OVER (PARTITION BY dataset_key) AS BIGINT) AS total FROM episodes GROUP BY dataset_key, label""")
 def dist_collection_date(s: Shapes):
     return dist.dist_collection_date(s.episodes)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,19 +12,11 @@ from kinetable.functions.text import dataset_key
 from kinetable.model import (
     CHARTABLE_COLUMNS, FEATURE, SYSTEM_EPISODE_COLUMNS, SYSTEM_INFO_KEYS,
 )
+from kinetable.sources.files import text_files, walk
 
 _INFO_SUFFIX = "/meta/info.json"
 
 
-def read_info_documents(files: DataFrame) -> DataFrame:
-    """``(dataset_path, info_text)`` from a whole-text scan over info documents."""
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
-    return files.where(path.endswith(_INFO_SUFFIX)).select(
-        F.regexp_replace(path, _INFO_SUFFIX + "$", "").alias("dataset_path"),
-        F.col("value").alias("info_text"),
-    )
-
-
 def parse_info(info: DataFrame) -> DataFrame:
     """Catalog rows from info documents; text that is not a JSON object is skipped.
 
@@ -81,11 +73,19 @@ def place_in_cells(catalog: DataFrame, pattern: str = "cell*") -> DataFrame:
     )
 
 
-def scan_catalog(spark: SparkSession, roots: list[str], pattern: str = "cell*") -> DataFrame:
+def scan_info(spark: SparkSession, roots: Sequence[str] | DataFrame) -> DataFrame:
+    """``(dataset_path, info_text)`` of all datasets below the roots, whatever their depth.
+
+    A folder with an info document is a dataset and is not entered, so datasets inside of others are never listed.
+    """
+    found = walk(spark, roots, accept=[_INFO_SUFFIX[1:]]).where("accepted").select("folder").distinct()
+    texts = text_files(spark, found.select(F.concat("folder", F.lit(_INFO_SUFFIX)).alias("path")))
+    return texts.select(F.regexp_replace("path", _INFO_SUFFIX + "$", "").alias("dataset_path"), F.col("value").alias("info_text"))
+
+
+def scan_catalog(spark: SparkSession, roots: Sequence[str] | DataFrame, pattern: str = "cell*") -> DataFrame:
     """Datasets found at any depth below the cells of the given roots."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-    info = read_info_documents(reader.option("pathGlobFilter", "info.json").text(roots))
-    return place_in_cells(drop_nested_datasets(parse_info(info)), pattern)
+    return place_in_cells(parse_info(scan_info(spark, roots)), pattern)
 
 
 def scan_cells(catalog: DataFrame, cells: DataFrame | None = None) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinetable.functions.text import dataset_key
 from kinetable.model import TASK_TEXT_COLUMNS
+from kinetable.sources.files import footers, plain_path, walk, without_scheme
 
-EPISODE_FILES = "meta/episodes/chunk-*/file-*.parquet"
 FRAME_FILES = "data/chunk-*/file-*.parquet"
 _WIDER = {
     frozenset({"int", "bigint"}): "bigint",
@@ -21,14 +22,6 @@ _WIDER = {
 }
 
 
-def path_exists(spark: SparkSession, pattern: str) -> bool:
-    """Whether a path or glob matches any file the session can see."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
-
-
 def read_shards(spark: SparkSession, paths: Sequence[str], merge: bool = False) -> DataFrame:
     """Read Parquet paths whose columns may differ; missing ones become NULL.
 
@@ -58,33 +51,100 @@ def union_widened(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.unionByName(right, allowMissingColumns=True)
 
 
-def scan_episodes(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    """Episode metadata of datasets, each row tagged with its dataset and shard position.
+# which files below a dataset are its shards; Spark writes a folder in place of a file
+EPISODE_SHARD = r"/meta/episodes/chunk-[^/]*/file-[^/]*\.parquet(/[^/]*\.parquet)?$"
+FRAME_SHARD = r"/data/chunk-[^/]*/file-[^/]*\.parquet(/[^/]*\.parquet)?$"
+TASK_SHARD = r"/meta/tasks\.parquet(/[^/]*\.parquet)?$"
 
-    A dataset without shards adds no rows; no shards at all gives an empty table
-    that still has ``episode_index``.
+
+def dataset_files(spark: SparkSession, roots: Sequence[str] | DataFrame, *folders: str) -> DataFrame:
+    """``(dataset_path, path, size, mtime_us)`` of all files of datasets, or of those below some of their folders.
+
+    ``roots`` are paths or a table with a column ``root``, such as a catalog gives.
+    """
+    into = None
+    if folders:
+        below = F.substring("path", F.length("root") + 2, F.length("path"))
+        into = F.exists(F.array(*[F.lit(f) for f in folders]), lambda f: below.startswith(f) | f.startswith(below))
+    return walk(spark, roots, into=into).where("not is_dir").select(
+        F.col("root").alias("dataset_path"), "path", "size", "mtime_us")
+
+
+def wider(one: str, two: str) -> str | None:
+    """The type that holds the values of both, by the name Spark has for it."""
+    if one == two:
+        return one
+    if one.startswith("array<") and two.startswith("array<"):
+        inner = wider(one[6:-1], two[6:-1])
+        return inner and f"array<{inner}>"
+    return _WIDER.get(frozenset({one, two}))
+
+
+def scan_shards(spark: SparkSession, shards: DataFrame, columns: Sequence[str] | None = None) -> DataFrame | None:
+    """Rows of many Parquet files whose columns differ; None without any.
+
+    ``shards`` has ``path`` and its footer (see `files.footers`). Files with equal columns are one scan, so the
+    plan grows with the number of schemas and not of files. Absent columns are NULL; ``shard_columns`` names those
+    that the file has, because an absent column is not the same as a NULL. Numbers of different width are widened;
+    other differences are an error, as is a file that can't be read.
     """
+    per = shards.groupBy("columns").agg(F.collect_list("path").alias("paths"), F.max("error").alias("error")).collect()
+    broken = [r.error for r in per if r.columns is None]
+    if broken:
+        raise ValueError(f"unreadable Parquet file: {broken[0]}")
+    kinds: dict[str, str] = {}
+    for group in per:
+        for field in group.columns:
+            kind = wider(kinds.get(field.name, field.dtype), field.dtype)
+            if kind is None:
+                raise ValueError(f"column {field.name!r} is {kinds[field.name]} and {field.dtype}")
+            kinds[field.name] = kind
+    names = [c for c in kinds if columns is None or c in columns]
+    names += [c for c in columns or () if c not in kinds]
     parts = []
-    for root in roots:
-        pattern = f"{root.rstrip('/')}/{EPISODE_FILES}"
-        if path_exists(spark, pattern):
-            parts.append(_with_position(spark, pattern, root))
-    if not parts:
-        return spark.createDataFrame([], "dataset_path string, episode_index bigint")
-    result = parts[0]
-    for part in parts[1:]:
-        result = union_widened(result, part)
-    return result
+    for group in sorted(per, key=lambda g: min(g.paths)):
+        own = {f.name: f.dtype for f in group.columns}
+        schema = ", ".join(f"`{n}` {t}" for n, t in own.items())
+        rows = spark.read.schema(schema).parquet(*sorted(group.paths))
+        cast = lambda n: (F.col(f"`{n}`") if n in own else F.lit(None)).cast(kinds.get(n, "string")).alias(n)
+        parts.append(rows.select(
+            *[cast(n) for n in names], F.array(*[F.lit(n) for n in own]).alias("shard_columns"),
+            plain_path().alias("shard_path"), F.col("_metadata.row_index").alias("shard_row")))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def shards_of_datasets(
+    spark: SparkSession, found: DataFrame, shard: str, columns: Sequence[str] | None, empty: str, keyed: bool = True
+) -> DataFrame:
+    """Rows of the shards whose footers are given, with the dataset each belongs to."""
+    rows = scan_shards(spark, found, columns)
+    if rows is None:
+        return spark.createDataFrame([], f"dataset_path string, {'dataset_key string, ' if keyed else ''}{empty}")
+    rest = [c for c in rows.columns if c not in ("dataset_path", *(["dataset_key"] if keyed else []))]
+    path = F.regexp_replace("shard_path", shard, "")
+    key = [dataset_key(path).alias("dataset_key")] if keyed else []
+    return rows.select(path.alias("dataset_path"), *key, *[F.col(f"`{c}`") for c in rest])
 
 
-def _with_position(spark: SparkSession, pattern: str, root: str) -> DataFrame:
-    df = spark.read.option("mergeSchema", "true").parquet(pattern)
-    return df.select(
-        F.lit(root.rstrip("/")).alias("dataset_path"),
-        "*",
-        F.col("_metadata.file_path").alias("shard_path"),
-        F.col("_metadata.row_index").alias("shard_row"),
-    )
+def _of_datasets(spark, roots, folder, shard, columns, empty, keyed=True) -> DataFrame:
+    listed = dataset_files(spark, roots, folder).where(F.col("path").rlike(shard))
+    return shards_of_datasets(spark, footers(listed), shard, columns, empty, keyed)
+
+
+def scan_episodes(
+    spark: SparkSession, roots: Sequence[str] | DataFrame, columns: Sequence[str] | None = None, keyed: bool = False
+) -> DataFrame:
+    """Episode metadata of datasets, each row with its dataset, its place and the columns its shard has.
+
+    A dataset without shards adds no rows; no shards at all gives an empty table
+    that still has ``episode_index``. ``keyed`` adds ``dataset_key``.
+    """
+    return _of_datasets(spark, roots, "meta/episodes", EPISODE_SHARD, columns, "episode_index bigint", keyed)
+
+
+def scan_dataset_frames(spark: SparkSession, roots: Sequence[str] | DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Frames of datasets, each row with its dataset, its place and the columns its shard has."""
+    return _of_datasets(spark, roots, "data", FRAME_SHARD, columns, "episode_index bigint, frame_index bigint")
 
 
 def scan_frames(
@@ -124,30 +184,42 @@ def resolve_task_text_column(
     return next(iter([*known, *indexed, *only_text]), None)
 
 
-def footer_index_columns(path: str) -> list[str]:
-    """Pandas index columns noted in a Parquet footer (one small file per dataset)."""
-    import pyarrow.parquet as pq
-
-    try:
-        note = (pq.read_schema(path).metadata or {}).get(b"pandas")
-        columns = json.loads(note).get("index_columns", []) if note else []
-    except (OSError, ValueError):
-        return []
-    return [c for c in columns if isinstance(c, str)]
-
-
-def scan_tasks(spark: SparkSession, root: str) -> DataFrame:
-    """Tasks of a dataset with their text under ``task``; a missing file is empty."""
-    path = f"{root.rstrip('/')}/meta/tasks.parquet"
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], "task_index bigint, task string")
-    df = spark.read.parquet(path)
-    text = resolve_task_text_column(df.schema)
-    if text is None:
-        text = resolve_task_text_column(df.schema, footer_index_columns(path))
-    if text is None or text == "task":
-        return df
-    return df.withColumnRenamed(text, "task")
+def task_text(columns: Column, index_columns: Column) -> Column:
+    """The same for footers as rows: the name of a file's text column, or NULL."""
+    named = F.transform(columns, lambda c: c["name"])
+    known = F.filter(F.array(*[F.lit(c) for c in TASK_TEXT_COLUMNS]), lambda c: F.array_contains(named, c))
+    indexed = F.filter(index_columns, lambda c: F.array_contains(named, c) & (c != "task_index"))
+    texts = F.transform(F.filter(columns, lambda c: (c["dtype"] == "string") & (c["name"] != "task_index")), lambda c: c["name"])
+    only = F.when(F.size(texts) == 1, texts).otherwise(F.array().cast("array<string>"))
+    return F.get(F.concat(known, indexed, only), F.lit(0))
+
+
+def scan_tasks(spark: SparkSession, roots: str | Sequence[str] | DataFrame) -> DataFrame:
+    """Tasks of one or many datasets with their text under ``task``; a missing file is empty.
+
+    Which column holds the text is decided for each file. Those of many say which dataset they belong to.
+    """
+    one = isinstance(roots, str)
+    listed = dataset_files(spark, [roots] if one else roots, "meta").where(F.col("path").rlike(TASK_SHARD))
+    rows = tasks_of_datasets(spark, footers(listed))
+    return rows.drop("dataset_path", "dataset_key") if one else rows
+
+
+def tasks_of_datasets(spark: SparkSession, shards: DataFrame) -> DataFrame:
+    """Tasks of the files whose footers are given."""
+    found = shards.withColumn("text", task_text(F.col("columns"), F.col("index_columns")))
+    rows = scan_shards(spark, found)
+    if rows is None:
+        return spark.createDataFrame([], "dataset_path string, dataset_key string, task_index bigint, task string")
+    # the few names that occur; every row knows its file's columns, so the choice is made again from these
+    names = sorted({r.text for r in found.select("text").distinct().collect() if r.text})
+    of_file = found.select(without_scheme(F.col("path")).alias("shard_path"), F.col("text").alias("_text"))
+    value = F.coalesce(*[F.when(F.col("_text") == n, F.col(f"`{n}`").cast("string")) for n in names]) if names else F.lit(None).cast("string")
+    rest = [c for c in rows.columns if c not in {*names, "task", "task_index", "shard_columns", "shard_row", "shard_path"}]
+    root = F.regexp_replace("shard_path", TASK_SHARD, "")
+    return rows.join(of_file, "shard_path").select(
+        root.alias("dataset_path"), dataset_key(root).alias("dataset_key"), "task_index", value.alias("task"),
+        *[F.col(f"`{c}`") for c in rest])
 
 
 def file_inventory(spark: SparkSession, pattern: str, root: str) -> DataFrame:

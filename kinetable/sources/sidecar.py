@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetable.functions.text import dataset_key
+from kinetable.sources.files import text_files, walk
 
 _ENTRIES = "map<string,struct<grade:string,tags:array<string>>>"
 
@@ -21,6 +22,19 @@ def read_sidecars(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
+def scan_sidecars(spark: SparkSession, folder: str, datasets: DataFrame) -> DataFrame:
+    """``(dataset_path, dataset_key, value)`` of the datasets that have a sidecar in a folder.
+
+    A sidecar belongs to the dataset whose name and path give its file name; no other file is opened.
+    """
+    listed = walk(spark, [folder], into=F.lit(False)).where("not is_dir").select(F.col("name").alias("file_name"), "path")
+    path = F.col("dataset_path")
+    named = datasets.select("dataset_path", dataset_key(path).alias("dataset_key"),
+                            sidecar_name(F.element_at(F.split(path, "/"), -1), path).alias("file_name"))
+    found = named.join(listed, "file_name").drop("file_name")
+    return found.join(text_files(spark, found), "path").select("dataset_path", "dataset_key", "value")
+
+
 def explode_sidecar(sidecars: DataFrame, *keys: str) -> DataFrame:
     """One row per annotated episode from the JSON text in ``value``; corrupt text adds none."""
     return (
