@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kinetable.functions.logline import log_event, log_prefix
+from kinetable.sources.log_tail import register
 
 
 def log_events(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -24,11 +25,19 @@ def log_events(lines: DataFrame, column: str = "value") -> DataFrame:
     return events.where(F.col("type").isNotNull())
 
 
-def source_log_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Stream of events from the text files that appear in a folder, one log per file."""
-    lines = spark.readStream.text(folder).select(
-        F.col("_metadata.file_name").alias("log"), F.col("value"))
-    return log_events(lines)
+def log_lines(spark: SparkSession, folder: str, stream: bool = True, **options: object) -> DataFrame:
+    """``log, pos, value`` of the files of a folder: what is there, or as a stream also what is appended."""
+    register(spark)
+    reader = (spark.readStream if stream else spark.read).format("log_tail")
+    return reader.options(**options).load(folder)
+
+
+def source_log_stream(spark: SparkSession, folder: str, tail: int | None = None) -> DataFrame:
+    """Stream of events from growing log files, each with its log and position.
+
+    ``tail`` lets a new stream begin with the last lines of each file that is there.
+    """
+    return log_events(log_lines(spark, folder, **({} if tail is None else {"tail": tail})))
 
 
 def write_events(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -1,29 +1,28 @@
 """Live conversion progress: what each task of a log is doing, folded from its events.
 
-The batch form needs no fold. Only the last event of each kind decides the
+No fold is needed. Only the last event of each kind decides the
 state of a task, and those are plain aggregates; the one thing that reaches
 across tasks, a task losing its entry when the next one starts, is added as an
-event of its own beforehand.
+event of its own beforehand. A stream keeps those decisive events and applies the
+same rules to them and each new batch.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from kinetable.functions.serials import serial_from_recording, task_from_recording
 from kinetable.operators.ordered import int_block, ordered_scan
 from kinetable.settings import checkpointed
+from kinetable.sources.files import remove_folder
 
 FLASH_MS = 500
-LIVE_SCHEMA = (
-    "log string, task string, phase string, recording_index bigint, recording_total bigint, "
-    "recording_serial string, started_ms bigint, flash_until_ms bigint"
-)
+EVENT_SCHEMA = "log string, pos long, task string, type string, index long, total long, serial string, ms long"
 
 
 def _ms(ts: str) -> Column:
@@ -67,7 +66,11 @@ def displaced_tasks(events: DataFrame) -> DataFrame:
 def live_progress(events: DataFrame, log: str = "log", pos: str = "line_no") -> DataFrame:
     """State of every task after all events of its log, in order of position."""
     own = checkpointed(task_events(events, log, pos))
-    rows = own.unionByName(displaced_tasks(own), allowMissingColumns=True)
+    return _state(own.unionByName(displaced_tasks(own), allowMissingColumns=True))
+
+
+def _state(rows: DataFrame) -> DataFrame:
+    """State of every task from `task_events` and `displaced_tasks`, all of them or the decisive ones."""
     at = lambda *kinds: F.max(F.when(F.col("type").isin(*kinds), F.col("pos")))
     payload = lambda kind, *cols: F.max_by(
         F.struct(*cols), F.when(F.col("type") == kind, F.col("pos")))
@@ -142,56 +145,90 @@ def live_done(progress: DataFrame, live: DataFrame) -> DataFrame:
         .otherwise(F.lit(0).cast("bigint")))
 
 
-# --- the same fold on a stream ---------------------------------------------
-
-def _step(live: dict, active: str | None, event) -> str | None:
-    """Apply one event to the tasks of a log; returns the active task."""
-    kind, task, entry = event.type, event.task, live.get(event.task)
-    if kind == "converting":
-        if active not in (None, task) and live.get(active, {}).get("phase") == "converting":
-            del live[active]
-        live[task] = {"phase": "converting"}
-        return task
-    if kind == "recording_start":
-        live[task] = {
-            "phase": (entry or {}).get("phase", "converting"), "index": int(event.index),
-            "total": int(event.total), "serial": event.serial, "started": int(event.ms),
-            "flash": (entry or {}).get("flash"),
-        }
-    elif kind == "converted" and entry:
-        entry["started"] = None
-    elif kind == "failed" and entry:
-        entry["flash"] = int(event.ms) + FLASH_MS
-    elif kind in ("finalizing", "finalized"):
-        if kind == "finalized" or (entry or {}).get("phase") != "done":
-            live[task] = {"phase": "done" if kind == "finalized" else "finalizing",
-                          "flash": (entry or {}).get("flash")}
-            return None if active == task else active
-    return active
-
-
-def _fold(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    stored = json.loads(state.get[0]) if state.exists else {"live": {}, "active": None}
-    live, active = stored["live"], stored["active"]
-    rows = pd.concat(list(parts)).sort_values("pos")
-    for event in rows.itertuples(index=False):
-        active = _step(live, active, event)
-    state.update((json.dumps({"live": live, "active": active}),))
-    yield pd.DataFrame(
-        [(key[0], task, e["phase"], e.get("index"), e.get("total"), e.get("serial"),
-          e.get("started"), e.get("flash")) for task, e in live.items()],
-        columns=[c.split()[0] for c in LIVE_SCHEMA.split(", ")],
-    ).astype({"recording_index": "Int64", "recording_total": "Int64",
-              "started_ms": "Int64", "flash_until_ms": "Int64"})
-
-
-def live_progress_stream(events: DataFrame, log: str = "log", pos: str = "line_no") -> DataFrame:
-    """Streaming form: after each batch, the tasks of every log that had events.
-
-    The state is one entry per task of a log; a batch holds only new lines.
+# --- the same on a stream ------------------------------------------------------
+
+def decisive(rows: DataFrame) -> DataFrame:
+    """The events of a log that can still decide something, whatever comes after them.
+
+    That is the last one of each kind of each task, and the first that gives a task an entry, at all or after another
+    one displaced it. Everything `live_progress` derives are last positions and that first one, so it says the same of
+    these events as of all of them.
+    """
+    columns = [c for c in rows.columns if c not in ("log", "task", "type")]
+    last = rows.groupBy("log", "task", "type").agg(F.max_by(F.struct(*columns), "pos").alias("_e"))
+    gone = rows.where("type = 'displaced'").groupBy("log", "task").agg(F.max("pos").alias("_x"))
+    back = rows.join(gone, ["log", "task"], "left").where(
+        F.col("type").isin("recording_start", "finalizing", "finalized") & (F.col("pos") > F.coalesce("_x", F.lit(-1))))
+    first = back.groupBy("log", "task").agg(F.min_by(F.struct("type", *columns), "pos").alias("_e"))
+    names = ["log", "task", "type", *columns]
+    return last.select("log", "task", "type", "_e.*").select(*names).unionByName(
+        first.select("log", "task", "_e.*").select(*names)).distinct()
+
+
+def progress_step(kept: DataFrame, new: DataFrame) -> DataFrame:
+    """Decisive events after a batch, from those before it and the batch's `task_events`.
+
+    A task is displaced where a new line starts another one; kept lines have been judged in their batch.
+    """
+    # of logs without new lines nothing changes
+    both = kept.unionByName(new)
+    moves = both.where("type <> 'displaced'").join(new.select("log").distinct(), "log", "left_semi")
+    starts = new.where("type = 'converting'").select("log", "pos")
+    fresh = displaced_tasks(moves).join(starts, ["log", "pos"], "left_semi")
+    return decisive(both.unionByName(fresh, allowMissingColumns=True))
+
+
+@dataclass(frozen=True)
+class ProgressStore:
+    """Decisive events of all logs in a folder, one table a batch.
+
+    A batch reads the table of the one before it and replaces its own, so a batch that runs again changes nothing.
+    """
+
+    spark: SparkSession
+    folder: str
+
+    def path(self, batch: int) -> str:
+        return f"{self.folder.rstrip('/')}/events/{batch}"
+
+    def load(self, batch: int) -> DataFrame:
+        """The events after a batch; before the first one there are none."""
+        if batch < 0:
+            return self.spark.createDataFrame([], EVENT_SCHEMA)
+        return self.spark.read.schema(EVENT_SCHEMA).parquet(self.path(batch))
+
+    def step(self, batch: int, events: DataFrame, idle: int | None = None, log: str = "log", pos: str = "pos") -> DataFrame:
+        """Take in a batch of events; the tasks of the logs it has events of.
+
+        Logs without an event for ``idle`` seconds before the newest one are dropped. Tables older than the one a
+        repeated batch would read are deleted.
+        """
+        new = checkpointed(task_events(events, log, pos))
+        rows = progress_step(self.load(batch - 1), new)
+        if idle is not None:
+            recent = rows.groupBy("log").agg(F.max("ms").alias("_ms"))
+            newest = recent.agg(F.max("_ms")).first()[0]
+            recent = recent.where(F.col("_ms") >= F.lit(newest) - idle * 1000)
+            rows = rows.join(recent.select("log"), "log", "left_semi")
+        rows.select(*[c.split()[0] for c in EVENT_SCHEMA.split(", ")]).write.mode("overwrite").parquet(self.path(batch))
+        remove_folder(self.path(batch - 2))
+        now = self.load(batch)
+        return _state(now.join(new.select("log").distinct(), "log", "left_semi"))
+
+
+def run_progress_stream(
+    events: DataFrame, folder: str, checkpoint: str, emit: Callable[[DataFrame, int], None], *,
+    idle: int | None = None, log: str = "log", pos: str = "pos", every: str | None = None,
+) -> StreamingQuery:
+    """Follow events: after each batch ``emit`` gets the tasks of every log that had events, and the batch number.
+
+    Runs until the source is drained, or for good with a trigger interval ``every``.
     """
-    return task_events(events, log, pos).groupBy("log").applyInPandasWithState(
-        _fold, LIVE_SCHEMA, "doc string", "update", "NoTimeout")
+    store = ProgressStore(events.sparkSession, folder)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return events.writeStream.foreachBatch(
+        lambda batch, number: emit(store.step(number, batch, idle, log, pos), number)
+    ).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 # --- job progress document -----------------------------------------------------

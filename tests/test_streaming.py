@@ -98,31 +98,110 @@ def test_live_progress_equals_the_fold(spark):
     assert {r.log: r.task for r in progress.active_tasks(events).collect()} == active
 
 
-def test_live_progress_stream(spark, tmp_path):
-    rng = random.Random(22)
-    lines = _random_log(rng, 60)
-    folder = tmp_path / "in"
-    folder.mkdir()
-    schema = "log string, line_no long, value string"
-    stream = spark.readStream.schema(schema).json(str(folder))
-    out = progress.live_progress_stream(logs.log_events(stream))
-    store = {}
-
+def _follow(spark, tmp_path, store, **options):
+    """Drain the log folder once; what the tasks of changed logs are now replaces what they were."""
     def keep(batch, number):
-        found = {}
-        for key, value in _live_rows(batch.collect()).items():
-            found[key] = value
-        for name in {k[0] for k in found}:
+        rows = batch.collect()
+        for name in {r.log for r in rows}:
             for key in [k for k in store if k[0] == name]:
                 del store[key]
-        store.update(found)
-
-    for part in (lines[:25], lines[25:]):
-        spark.createDataFrame([("a", l[2], l[4]) for l in part], schema).coalesce(1).write.mode("append").json(str(folder))
-        q = (out.writeStream.foreachBatch(keep).outputMode("update")
-             .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start())
-        q.awaitTermination()
-    assert store == {("a", t): v for t, v in _expected(lines)[0].items()}
+        store.update(_live_rows(rows))
+
+    events = logs.source_log_stream(spark, str(tmp_path / "logs"))
+    progress.run_progress_stream(events, str(tmp_path / "state"), str(tmp_path / "ckpt"), keep, **options).awaitTermination()
+
+
+def test_growing_logs_to_live_progress(spark, tmp_path):
+    """Lines are appended in uneven pieces, some in the middle of a line, over many batches."""
+    rng = random.Random(22)
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    texts = {f"log{k}.txt": _random_log(rng, 40) for k in range(3)}
+    data = {name: "".join(line[4] + "\n" for line in lines).encode() for name, lines in texts.items()}
+    done, store = dict.fromkeys(texts, 0), {}
+    for step in range(7):
+        for name in texts:
+            if rng.random() < .8:
+                upto = len(data[name]) if step == 6 else min(len(data[name]), done[name] + rng.randrange(400))
+                with open(folder / name, "ab") as file:
+                    file.write(data[name][done[name]:upto])
+                done[name] = upto
+        _follow(spark, tmp_path, store)
+        want = {}
+        for name, lines in texts.items():
+            whole = data[name][:done[name]].count(b"\n")
+            want |= {(name, t): v for t, v in _expected(lines[:whole])[0].items()}
+        assert store == want, step
+
+
+def test_decisive_events_say_the_same(spark):
+    rng = random.Random(5)
+    all_logs = {f"log{k}": _random_log(rng, rng.randrange(20, 60)) for k in range(60)}
+    data = [(name, line[2], line[4]) for name, lines in all_logs.items() for line in lines]
+    lines = spark.createDataFrame(data, "log string, line_no long, value string")
+    kept = spark.createDataFrame([], progress.EVENT_SCHEMA)
+    for low, high in ((0, 7), (7, 8), (8, 30), (30, 99)):
+        part = progress.task_events(logs.log_events(lines.where(f"line_no >= {low} and line_no < {high}")))
+        kept = progress.progress_step(kept, part).select(*kept.columns).checkpoint()
+    want = {(name, t): v for name, lines_ in all_logs.items() for t, v in _expected(lines_)[0].items()}
+    assert _live_rows(progress._state(kept).collect()) == want
+    assert kept.count() <= 60 * 4 * 8
+
+
+def test_a_repeated_batch_changes_nothing_and_idle_logs_go(spark, tmp_path):
+    line = lambda log, pos, at, text: (log, pos, f"2026-01-01 00:{at:02}:00 [INFO] {text}")
+    table = lambda *rows: logs.log_events(spark.createDataFrame(rows, "log string, pos long, value string"))
+    store = progress.ProgressStore(spark, str(tmp_path / "s"))
+    one, two = table(line("a", 0, 0, "Converting c/t: 2 new recordings")), table(line("b", 0, 30, "Converting c/u: 1 new recordings"))
+    store.step(0, one)
+    first = _live_rows(store.step(1, two).collect())
+    assert first == _live_rows(store.step(1, two).collect()) and set(first) == {("b", "c/u")}
+    assert {r.log for r in store.load(1).collect()} == {"a", "b"}
+    store.step(2, table(line("b", 50, 31, "Finalized: c/u")), idle=600)
+    assert {r.log for r in store.load(2).collect()} == {"b"}
+    assert not (tmp_path / "s" / "events" / "0").exists()
+
+
+def test_positions_of_appended_lines(spark, tmp_path):
+    folder = tmp_path / "logs" / "deep"
+    folder.mkdir(parents=True)
+    got = []
+
+    def follow(**options):
+        lines = logs.log_lines(spark, str(tmp_path / "logs"), **options)
+        lines.writeStream.foreachBatch(lambda b, n: got.extend(tuple(r) for r in b.collect())).option(
+            "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        out = sorted(got)
+        got.clear()
+        return out
+
+    (folder / "a.log").write_bytes(b"one\ntwo\nthr")
+    (folder / ".hidden").write_bytes(b"x\n")
+    assert follow() == [("deep/a.log", 0, "one"), ("deep/a.log", 4, "two")]
+    assert follow() == []
+    with open(folder / "a.log", "ab") as file:
+        file.write("ee\n\n\u00e9\n".encode() + b"\xff bad\nopen")
+    (folder / "b.log").write_bytes(b"new\n" + b"x" * 200_000 + b"\nlast\n")
+    out = follow(rangeBytes=1000)
+    assert [r[1:] for r in out if r[0] == "deep/a.log"] == [(8, "three"), (14, ""), (15, "\u00e9"), (18, "\ufffd bad")]
+    assert [(r[1], len(r[2])) for r in out if r[0] == "deep/b.log"] == [(0, 3), (4, 200_000), (200_005, 4)]
+    (folder / "b.log").write_bytes(b"again\n")
+    assert follow() == [("deep/b.log", 0, "again")]
+    table = logs.log_lines(spark, str(tmp_path / "logs"), stream=False, rangeBytes=5).where("log = 'deep/a.log'")
+    assert sorted((r.pos, r.value) for r in table.collect()) == [
+        (0, "one"), (4, "two"), (8, "three"), (14, ""), (15, "\u00e9"), (18, "\ufffd bad"), (24, "open")]
+
+
+def test_a_new_stream_may_begin_with_the_last_lines(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a").write_text("".join(f"2026-01-01 00:00:{i:02} [INFO] Finalized: c/{i}\n" for i in range(9)))
+    (folder / "b").write_text("2026-01-01 00:00:00 [ERROR] boom\n")
+    got = []
+    logs.source_log_stream(spark, str(folder), tail=2).writeStream.foreachBatch(
+        lambda b, n: got.extend((r.log, r.type, r.task) for r in b.collect())).option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(got, key=repr) == [("a", "finalized", "c/7"), ("a", "finalized", "c/8"), ("b", "error", None)]
 
 
 def test_log_stream_writes_events(spark, tmp_path):
