@@ -22,6 +22,13 @@ def slug(text: Column) -> Column:
     return F.when(cleaned == "", F.lit("unknown")).otherwise(cleaned)
 
 
+def repo_id(path: Column) -> Column:
+    """Local repository name of a dataset path: its last folder, other characters than ``._-`` as a dash each."""
+    name = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
+    return F.concat(F.lit("local/"), F.regexp_replace(
+        F.when(name == "", F.lit("dataset")).otherwise(name), "[^A-Za-z0-9._-]", "-"))
+
+
 def tags_from_json(text: Column) -> Column:
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
 

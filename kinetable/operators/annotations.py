@@ -191,6 +191,11 @@ def merge_upsert(
     have = current.select(*keys, F.struct(*columns).alias("old"))
     incoming = [c for c in new.columns if c not in keys]
     row = F.struct(*incoming)
+    # maps have no order of their own
+    kinds = dict(new.dtypes)
+    has_map = any("map<" in kinds[c] for c in incoming)
+    if order is None and has_map:
+        order = F.struct(*[F.to_json(F.struct(c)) if "map<" in kinds[c] else F.col(c) for c in incoming])
     come = new.groupBy(*keys).agg((F.max(row) if order is None else F.max_by(row, order)).alias("new"))
     both = have.join(come, list(keys), "full_outer")
     take = F.col("new").isNotNull()

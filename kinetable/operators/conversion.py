@@ -9,7 +9,7 @@ retry counters), so a task of any size is joined, never held as one list.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetable.functions.serials import strict_recording_date
@@ -232,7 +232,8 @@ def signature_groups(recordings: DataFrame) -> DataFrame:
     """Groups of equal signature per task, largest first, with where each one goes.
 
     The largest group stays (the one met first in name order on a tie); others
-    move to ``<task>__<robot>__<signature>``.
+    move to ``<task>__<robot>__<signature>``, with the whole signature if its first
+    digits are those of another group of the task.
     """
     signed = with_signature(recordings).where(F.col("signature_id").isNotNull())
     # one row per group; counted, ranked and compared below
@@ -246,7 +247,10 @@ def signature_groups(recordings: DataFrame) -> DataFrame:
         # many groups may be of one size; signatures spread evenly by their first digits
         block=F.struct("_rank", F.substring("signature_digest", 1, 2).alias("_sig")), out="position",
     ).drop("_rank").withColumn("signature_id", F.substring("signature_digest", 1, 8))
-    moved = F.concat("cell_task", F.lit("__"), slug(F.col("robot_type")), F.lit("__"), "signature_id")
+    # groups that share eight digits are two or three, so the window is as small
+    alike = F.count("*").over(Window.partitionBy("cell_task", "signature_id")) > 1
+    numbered = numbered.withColumn("_sign", F.when(alike, F.col("signature_digest")).otherwise(F.col("signature_id")))
+    moved = F.concat("cell_task", F.lit("__"), slug(F.col("robot_type")), F.lit("__"), "_sign")
     return numbered.join(kept, "cell_task").select(
         "cell_task", "signature_id", "robot_type", "recordings", "position",
         (F.col("signature_digest") == F.col("keep")).alias("keep_in_source"),

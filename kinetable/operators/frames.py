@@ -18,11 +18,14 @@ MIN_SEVERE_RUN = 5
 TERMINAL_FLAGS = ("is_terminal", "is_last")
 
 
-def index_range_slice(frames: DataFrame, start: int, stop: int) -> DataFrame:
+def index_range_slice(frames: DataFrame, start: int, stop: int, shard: str | None = None) -> DataFrame:
     """Frames with start <= index < stop; by position in the shard if there are none.
 
-    The range reaches the Parquet scan as a pushed filter.
+    The range reaches the Parquet scan as a pushed filter. ``shard`` is the end of the path of the only file
+    that is looked at, such as the data file an episode names; without it positions are those in any file.
     """
+    if shard is not None:
+        frames = frames.where(F.col("shard_path").endswith(shard))
     by_position = frames.where(
         (F.col("shard_row") >= max(0, start)) & (F.col("shard_row") < max(0, stop)))
     if "index" not in frames.columns:

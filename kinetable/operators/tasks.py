@@ -17,6 +17,13 @@ def update_task(tasks: DataFrame, index: int, text: str) -> DataFrame:
         "task", F.when(F.col("task_index") == index, F.lit(text)).otherwise(F.col("task")))
 
 
+def unknown_tasks(tasks: DataFrame, index: int) -> DataFrame:
+    """Datasets of a task table that have no such index, which `update_task` leaves as they are."""
+    known = tasks.groupBy("dataset_key").agg(F.bool_or(F.col("task_index") == index).alias("_has"))
+    return known.where(~F.coalesce("_has", F.lit(False))).select(
+        "dataset_key", F.lit(index).cast("bigint").alias("task_index"), F.lit("task_not_found").alias("problem"))
+
+
 def task_text_of(tasks: DataFrame) -> DataFrame:
     """First index of each task text per dataset."""
     return tasks.groupBy("dataset_key", "task").agg(F.min("task_index").alias("task_index"))
@@ -122,6 +129,24 @@ def apply_shared_rename(
     return new_tasks, listed
 
 
+def rename_rejects(tasks: DataFrame, preview: DataFrame) -> DataFrame:
+    """Renames that `apply_shared_rename` can't follow, ``(dataset_key, task_index, instruction, problem)``.
+
+    ``conflicting_texts``: different texts are asked for one task, which keeps its own. ``ambiguous_text``: two tasks
+    have the same text and get different ones; lists of task texts in episodes take the smaller.
+    """
+    asked = preview.where("action = 'shared' and problem is null").select(
+        "dataset_key", F.col("current_task_index").alias("task_index"), "instruction").distinct()
+    each = asked.groupBy("dataset_key", "task_index").agg(F.count("*").alias("_n"))
+    marked = asked.join(each, ["dataset_key", "task_index"])
+    once = marked.where("_n = 1").join(tasks.select("dataset_key", "task_index", "task"), ["dataset_key", "task_index"])
+    unclear = once.groupBy("dataset_key", "task").agg(
+        F.min("instruction").alias("_lo"), F.max("instruction").alias("_hi")).where("_lo <> _hi")
+    columns = ["dataset_key", "task_index", "instruction"]
+    return marked.where("_n > 1").select(*columns, F.lit("conflicting_texts").alias("problem")).unionByName(
+        once.join(unclear, ["dataset_key", "task"], "left_semi").select(*columns, F.lit("ambiguous_text").alias("problem")))
+
+
 def apply_episode_instructions(
     tasks: DataFrame, episodes: DataFrame, frames: DataFrame, preview: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
