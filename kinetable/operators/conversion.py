@@ -90,18 +90,21 @@ def pending_set(raw: DataFrame, serials: DataFrame) -> DataFrame:
     (cell_task, serial). A retry counts only while its recording exists. The
     result says which of the two a recording is.
     """
-    blocked = serials.where(F.col("status").isin("converted", "failed", "transient"))
-    fresh = raw.select(*TASK_SERIAL).join(blocked.select(*TASK_SERIAL), list(TASK_SERIAL), "left_anti")
-    due = serials.where("status = 'retry_due'").select(*TASK_SERIAL).distinct().join(
-        raw.select(*TASK_SERIAL), list(TASK_SERIAL), "left_semi")
-    new = fresh.join(due, list(TASK_SERIAL), "left_anti")
-    return due.withColumn("retry", F.lit(True)).unionByName(new.distinct().withColumn("retry", F.lit(False)))
+    # both tables are read once, and meet in one aggregate
+    no, yes = F.lit(False), F.lit(True)
+    there = raw.select(*TASK_SERIAL, yes.alias("there"), no.alias("blocked"), no.alias("due"))
+    marks = serials.select(*TASK_SERIAL, no.alias("there"), F.col("status").isin("converted", "failed", "transient").alias("blocked"),
+                           (F.col("status") == "retry_due").alias("due"))
+    per = there.unionByName(marks).groupBy(*TASK_SERIAL).agg(*[
+        F.coalesce(F.bool_or(c), no).alias(c) for c in ("there", "blocked", "due")])
+    return per.where("there and (due or not blocked)").select(*TASK_SERIAL, F.col("due").alias("retry"))
 
 
 def retry_first_queue(pending: DataFrame) -> DataFrame:
     """Queue position of each pending recording: due retries first, then the rest by serial."""
     first = F.when(F.col("retry"), F.lit("0")).otherwise(F.lit("1"))
-    keyed = pending.withColumn("_first", first)
+    # written once: the blocks and the rows in them are two readings
+    keyed = checkpointed(pending.withColumn("_first", first))
     return row_position(
         keyed, keys=["cell_task"], order=["_first", "serial"],
         # the minute in front of a serial never decreases along the serial order

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinetable.operators.ordered import int_block, row_position, runs
+from kinetable.settings import checkpointed
 
 EP = ("dataset_key", "episode_index")
 # fixed values: divergence levels and the shortest severe run, in frames
@@ -204,7 +205,8 @@ def terminal_frames(frames: DataFrame, keys: Sequence[str] = EP) -> DataFrame:
     flag = next((c for c in TERMINAL_FLAGS if c in frames.columns), None)
     if flag is None:
         return frames.select(*keys, F.lit(0).cast("bigint").alias("position"), "timestamp").where("false")
-    slim = frames.select(*keys, "frame_index", "timestamp", flag)
+    # written once: the blocks and the frames in them are two readings
+    slim = checkpointed(frames.select(*keys, "frame_index", "timestamp", flag))
     placed = row_position(
         slim, keys=list(keys), order=["frame_index"], block=int_block("frame_index"), out="position")
     return placed.where(F.col(flag)).select(*keys, "position", "timestamp")

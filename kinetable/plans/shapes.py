@@ -281,14 +281,14 @@ class Shapes:
     def serial_status(self) -> DataFrame:
         """Conversion status of recordings; retries also name recordings that are gone."""
         i = F.col("item_no")
-        r = self.recordings
-        pick = lambda cond, status, key=F.col("serial"): r.where(cond).select(
-            "cell_task", key.alias("serial"), "item_no", F.lit(status).alias("status"))
-        return (
-            pick(i % 3 == 0, "converted").unionByName(pick((i % 7 == 0) & (i % 3 != 0), "failed"))
-            .unionByName(pick((i % 11 == 0) & (i % 3 != 0), "transient"))
-            .unionByName(pick((i % 22 == 0) & (i % 3 != 0), "retry_due"))
-            .unionByName(pick(i % 55 == 0, "retry_due", F.concat(F.lit("gone-"), "serial"))))
+        pick = lambda cond, status, key=F.col("serial"): F.struct(
+            cond.alias("holds"), key.alias("serial"), F.lit(status).alias("status"))
+        found = F.array(
+            pick(i % 3 == 0, "converted"), pick((i % 7 == 0) & (i % 3 != 0), "failed"),
+            pick((i % 11 == 0) & (i % 3 != 0), "transient"), pick((i % 22 == 0) & (i % 3 != 0), "retry_due"),
+            pick(i % 55 == 0, "retry_due", F.concat(F.lit("gone-"), "serial")))
+        return self.recordings.select("cell_task", "item_no", F.explode(found).alias("f")).where("f.holds").select(
+            "cell_task", "f.serial", "item_no", "f.status")
 
     @cached_property
     def task_counts(self) -> DataFrame:
