@@ -82,12 +82,16 @@ def has_letter(text: str | None) -> bool:
 
 
 def _landmarks(rows: DataFrame, count: int, chars: int) -> list[tuple[str, str]]:
-    """Whole texts spread over the languages, chosen by hash: the same number of each, ``count`` at most."""
-    fit = rows.where(F.length("text").between(1, chars))
-    languages = fit.select("lang").distinct().orderBy("lang").limit(count)
-    each = max(1, count // max(1, languages.count()))
+    """Whole texts spread over the languages, chosen by hash: the same number of each, at least one.
+
+    Texts are of ``chars`` characters at most; a language that has only longer ones gives its shortest.
+    """
+    sized = rows.where(F.length("text") > 0)
+    limits = sized.groupBy("lang").agg(F.greatest(F.lit(chars), F.min(F.length("text"))).alias("limit"))
+    each = max(1, count // max(1, limits.count()))
+    fit = sized.join(F.broadcast(limits), "lang").where(F.length("text") <= F.col("limit")).drop("limit")
     # those of 40 characters or more first: a short text spans little
-    ids = fit.select("lang", F.xxhash64("text").alias("h"), (F.length("text") < 40).alias("short")).join(F.broadcast(languages), "lang").distinct()
+    ids = fit.select("lang", F.xxhash64("text").alias("h"), (F.length("text") < 40).alias("short")).distinct()
     # first by a share of the hash range within each language, so that no task ranks a whole language
     block = F.pmod("h", F.lit(1024))
     inside = Window.partitionBy("lang", "block").orderBy("short", "h")
@@ -104,8 +108,9 @@ def fit(
 ) -> Model | None:
     """Learn from ``text`` and non-null ``lang``; None without any.
 
-    About ``training_rows`` rows, chosen by the hash of the text, give the sums
-    that the regressions need; languages weigh the same however many rows they have.
+    About ``training_rows`` rows, the same number of each language and chosen by the
+    hash of the text, give the sums that the regressions need; a language with fewer
+    gives all it has, and languages weigh the same however many rows they have.
     """
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     base = _landmarks(rows, landmarks, landmark_chars)
@@ -124,12 +129,10 @@ def fit(
     keep = value > 1e-6 * value.max()
     whiten = vector[:, keep] / np.sqrt(value[keep])
 
-    counts = {r["lang"]: r["n"] for r in rows.where(F.col("lang").isin(languages)).groupBy("lang").agg(
-        F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
-    known = rows.where(F.col("lang").isin(languages))
-    if total > training_rows:
-        known = known.where(F.pmod(F.xxhash64("text", F.lit("train")), F.lit(1 << 31)) < int(training_rows / total * (1 << 31)))
+    # one row a language
+    share = rows.groupBy("lang").agg((F.lit(training_rows / len(languages)) / F.count("*")).alias("share"))
+    draw = F.pmod(F.xxhash64("text", F.lit("train")), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    known = rows.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("text", "lang")
     size, context = int(keep.sum()), rows.sparkSession.sparkContext
     shared = context.broadcast((bare, whiten))
 
