@@ -142,3 +142,20 @@ def test_medallion_batches_that_repeat_and_a_clock(spark, tmp_path):
     query.stop()
     batch = max(int(p.name) for p in (tmp_path / "t/states").iterdir() if p.name != "-1" and (p / "_SUCCESS").exists())
     assert {r.state for r in late.load(batch).collect()} == {"silver_failed"}
+
+
+def test_stacked_scans_read_their_input_once(spark):
+    import __spark_entry__ as entry
+
+    for name, most in (("pending_set", 2), ("retry_first_queue", 4), ("terminal_frames", 2)):
+        plan = entry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") <= most, name
+
+
+def test_the_entry_lives_without_a_library_of_the_corpus_part():
+    import subprocess
+    import sys
+
+    code = ("import sys; sys.modules['zstandard'] = None\nimport __spark_entry__ as e\n"
+            "assert len(e.queries()) > 150 and not any(n.startswith('op1_') for n in e.queries())")
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
