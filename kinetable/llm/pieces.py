@@ -252,6 +252,8 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {}
         self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        # the best segmentations of parts that a next best text changes
+        self.options: dict[tuple, list] = {}
         # a blank sign that is in the text itself
         self.literal = _NONE + array("i", [vocabulary.bytes[b] for b in BLANK.encode()]).tobytes()
 
@@ -300,8 +302,9 @@ class Encoder:
             out += [None] * (k > 0) + split((BLANK if not k else "") + run.replace(" ", BLANK))
         return out
 
-    def _parts(self, texts: list[str]) -> list[list[bytes]]:
-        """Solved parts of each text: of its words, or of its blocks if blanks stand side by side."""
+    def _parts(self, texts: list[str]) -> tuple[list[list[bytes]], list[list[str | None]], list[bool]]:
+        """Solved parts of each text, what they are parts of, and whether these are words (blocks if blanks stand
+        side by side)."""
         simple = [bool(t) and "  " not in t and t[0] != " " and BLANK not in t for t in texts]
         lists = [t.split(" ") if s else self.blocks(t) if t else [] for t, s in zip(texts, simple)]
         word = self.words.get
@@ -312,12 +315,14 @@ class Encoder:
         other = {**(self.solve(list(blocks)) if blocks else {}), None: self.literal}
         return [
             [other[b] for b in ws] if not s else [p or known[w] for w, p in zip(ws, ps)] if None in ps else ps
-            for ws, ps, s in zip(lists, found, simple)]
+            for ws, ps, s in zip(lists, found, simple)], lists, simple
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts the ids of the best segmentations one after the other, how many each has, their
         scores, and what the next best of each loses (infinite if there is no other)."""
-        lists = self._parts(texts)
+        return self._encoded(self._parts(texts)[0])
+
+    def _encoded(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         parts = [p for found in lists for p in found]
         words = np.frombuffer(b"".join(parts), np.int32)
         heads = np.cumsum([0, *map(len, parts)])[:-1] >> 2
@@ -327,12 +332,62 @@ class Encoder:
         edges = np.cumsum([0, *map(len, lists)])
         offsets = np.append(heads, len(words))[edges] - edges
         full = np.flatnonzero(np.diff(edges))
-        score, loss = np.zeros(len(texts)), np.full(len(texts), np.inf)
+        score, loss = np.zeros(len(lists)), np.full(len(lists), np.inf)
         if len(full):
             score[full] = np.add.reduceat(self.vocabulary.score_of_id[ids], offsets[full])
             loss[full] = np.minimum.reduceat(words[heads].view(np.float32), edges[full])
         return ids, np.diff(offsets), score, loss
 
+    def ranked_all(self, texts: list[str], count: int) -> tuple[tuple, list[list[tuple[float, np.ndarray]]]]:
+        """What `encode_all` gives, and of each text the next best segmentations up to ``count`` in all, (score, ids).
+
+        They differ from the best one only in those parts that are among the ``count`` - 1 in which the next best
+        loses least; these parts are searched by A-star for their own ``count`` best.
+        """
+        found, lists, simple = self._parts(texts)
+        best = self._encoded(found)
+        ids, sizes, scores, _ = best
+        ends = np.cumsum(sizes)
+        return best, [
+            self._others(parts, names, words, ids[end - size:end], float(score), count) if parts else []
+            for parts, names, words, size, end, score in zip(found, lists, simple, sizes, ends, scores)]
+
+    def _others(self, parts, names, words, ids, score, count) -> list[tuple[float, np.ndarray]]:
+        loss = [array("f", p[:4])[0] for p in parts]
+        near = sorted(heapq.nsmallest(count - 1, (k for k in range(len(parts)) if loss[k] < math.inf), key=lambda k: (loss[k], k)))
+        if not near:
+            return []
+        places = np.cumsum([0, *[len(p) // 4 - 1 for p in parts]])
+        # changes of parts, each (score lost, its place, the new ids); none of them is the best itself
+        out: list[tuple[float, tuple]] = [(0.0, ())]
+        for k in near:
+            own = ids[places[k]:places[k + 1]].tolist()
+            had = float(self.vocabulary.score_of_id[own].sum())
+            options = [(had - s, (k, new)) for s, new in self._options(names[k], words, count + 1) if new != own][:count - 1]
+            out = heapq.nsmallest(count, [*out, *[(lost + more, (*done, change)) for lost, done in out for more, change in options]],
+                                  key=lambda x: x[0])
+        made = []
+        for lost, changes in out:
+            if changes:
+                pieces, at = [], 0
+                for k, new in changes:
+                    pieces += [ids[at:places[k]], np.array(new, np.int32)]
+                    at = places[k + 1]
+                made.append((score - lost, np.concatenate([*pieces, ids[at:]])))
+        return made[:count - 1]
+
+    def _options(self, name: str, word: bool, count: int) -> list[tuple[float, list[int]]]:
+        """The best segmentations of a word or block, by A-star; those of short ones are kept."""
+        key = name, word, count
+        known = self.options.get(key)
+        if known is None:
+            known = self.nbest(name, count) if word else Lattice(name, self.vocabulary).paths(count)
+            if len(self.options) >= MEMO // 8:
+                self.options.clear()
+            if len(name) <= 64:
+                self.options[key] = known
+        return known
+
     def encode(self, text: str) -> tuple[np.ndarray, float, float]:
         """Ids of the best segmentation, its score, and what the next best loses to it."""
         ids, _, score, loss = self.encode_all([text])
@@ -384,10 +439,14 @@ def decode(ids, vocabulary: Vocabulary) -> str:
     return "".join(out)[1:]
 
 
-def encoded(docs: DataFrame, keys: list[str], *, path: str, text: str = "text", verify: bool = False) -> DataFrame:
+def encoded(
+    docs: DataFrame, keys: list[str], *, path: str, text: str = "text", verify: bool = False, count: int = 1,
+) -> DataFrame:
     """``keys``, ``ids``, ``score`` and ``margin`` (to the next best segmentation; null if there is no other).
 
-    With ``verify`` also ``round_trip``: whether the pieces decode to the text.
+    With a ``count`` of two or more also ``others``: the next best segmentations, best first, ``count`` in all with
+    the best one (fewer if there are no more), each with ``ids`` and ``score``.
+    With ``verify`` also ``round_trip``: whether the pieces decode to the text, those of all segmentations.
     """
     kinds = dict(docs.dtypes)
 
@@ -395,17 +454,32 @@ def encoded(docs: DataFrame, keys: list[str], *, path: str, text: str = "text",
         own = encoder(path)
 
         def work(columns):
-            ids, sizes, score, loss = own.encode_all([t or "" for t in columns[-1]])
+            texts = [t or "" for t in columns[-1]]
+            more = None
+            if count > 1:
+                (ids, sizes, score, loss), more = own.ranked_all(texts, count)
+            else:
+                ids, sizes, score, loss = own.encode_all(texts)
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             out = [*columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(score),
                    pa.array(loss, mask=np.isinf(loss))]
+            if more is not None:
+                flat = [o for found in more for o in found]
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.cumsum([0, *[len(i) for _, i in flat]]).astype(np.int32)),
+                    pa.array(np.concatenate([i for _, i in flat]) if flat else np.zeros(0, np.int32), pa.int32()))
+                each = pa.StructArray.from_arrays([lists, pa.array([s for s, _ in flat], pa.float64())], names=["ids", "score"])
+                out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, more)]).astype(np.int32)), each))
             if verify:
-                out.append([decode(ids[a:b].tolist(), own.vocabulary) == (t or "")
-                            for a, b, t in zip(offsets, offsets[1:], columns[-1])])
+                same = [decode(ids[a:b].tolist(), own.vocabulary) == t for a, b, t in zip(offsets, offsets[1:], texts)]
+                if more is not None:
+                    same = [ok and all(decode(i.tolist(), own.vocabulary) == t for _, i in found) for ok, found, t in zip(same, more, texts)]
+                out.append(same)
             return out
         return work
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", ids array<int>, score double, margin double"
+    schema += ", others array<struct<ids: array<int>, score: double>>" if count > 1 else ""
     schema += ", round_trip boolean" if verify else ""
     return map_texts(docs, [*keys, text], schema, start)
 

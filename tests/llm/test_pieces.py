@@ -69,3 +69,31 @@ def test_nulls_and_extra_columns(spark):
     back = [r.text for r in pieces.decoded(found, ["doc_id"], path=VOCABULARY_FILE).collect()]
     assert sorted(back) == sorted(t or "" for _, t, _ in rows)
     assert pieces.encoded(df.limit(0), ["doc_id"], path=VOCABULARY_FILE).count() == 0
+
+
+def test_next_best_of_whole_texts():
+    own, draw = pieces.encoder(VOCABULARY_FILE), random.Random(9)
+    texts = ["".join(draw.choice("abcdetnos ,.\n") for _ in range(draw.randint(0, 40))) for _ in range(60)] + TEXTS
+    for count in (2, 5):
+        (ids, sizes, score, loss), others = own.ranked_all(texts, count)
+        ends = sizes.cumsum()
+        for k, text in enumerate(texts):
+            want = own.nbest(text, count)
+            best = ids[ends[k] - sizes[k]:ends[k]].tolist()
+            got = [(float(score[k]), best)] + [(s, i.tolist()) for s, i in others[k]]
+            assert len(got) == len(want) and len({tuple(i) for _, i in got}) == len(got), text
+            for (s, i), (t, _) in zip(got, want):
+                assert abs(s - t) < 1e-3 and abs(own.vocabulary.score_of_id[i].sum() - s) < 1e-3
+                assert pieces.decode(i, own.vocabulary) == text
+
+
+def test_others_column(spark):
+    rows = [(1, "the nation, so"), (2, None), (3, ""), (1, "the nation, so"), (4, "a" * 3000 + " b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pieces.encoded(df, ["doc_id"], path=VOCABULARY_FILE, verify=True, count=3).collect()
+    assert len(got) == 5 and all(r.round_trip for r in got)
+    for r in got:
+        scores = [r.score] + [o.score for o in r.others]
+        assert scores == sorted(scores, reverse=True) and len(r.others) == (2 if r.doc_id in (1, 4) else 0)
+        assert not r.others or abs(r.score - r.others[0].score - r.margin) < 1e-3
+    assert pieces.encoded(df.limit(0), ["doc_id"], path=VOCABULARY_FILE, count=2).count() == 0
