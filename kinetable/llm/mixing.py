@@ -8,16 +8,17 @@ the last one counting if that brings the sum nearer. Sizes are summed up by
 block of that order, so no task walks through a whole source.
 
 Defined results: a null source is a source of its own, ordered last; null or
-empty texts have size zero; a source of size zero has target zero; rows that
-repeat are separate rows; an empty table gives an empty result. The result
-depends on the rows alone, so reruns agree.
+empty texts have size zero; a source of size zero has target zero; rows that are
+equal in keys and text are one place in the order, of which as many are taken as
+bring the sum nearest (which of them is not defined); an empty table gives an empty
+result. The result depends on the rows alone, so reruns agree.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetable.llm.common import words
@@ -83,14 +84,19 @@ def shares(
     whole = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(F.lit(0)).cast("long")
     level = checkpointed(level.select(
         F.col("__source").alias("__of"), "__rank", F.col("size").alias("source_size"), "target", whole.alias("whole")))
-    joined = rows.join(level.where(F.col("whole") < epochs), F.col("__source").eqNullSafe(F.col("__of")))
+    # rows that are equal in all that decides are one, taken as often as there is room
+    equal = rows.groupBy("__source", "draw", "tie", "size").agg(F.count("*").alias("copies"))
+    joined = equal.join(level.where(F.col("whole") < epochs), F.col("__source").eqNullSafe(F.col("__of")))
     running = ordered_scan(
         joined, keys=["__rank"], order=["draw", "tie", "size"], block=F.substring("draw", 1, 3),
-        totals={"__before": F.col("size")})
+        totals={"__before": F.col("size") * F.col("copies")})
     rest = F.col("target") - F.col("whole") * F.col("source_size")
+    room = F.floor((2 * rest - F.col("size") - 2 * F.col("__before")) / (2 * F.col("size"))) + 1
+    taken = F.when(F.col("size") > 0, F.least(room, F.col("copies"))).otherwise(F.col("copies")).cast("long")
     last = running.where(2 * F.col("__before") + F.col("size") <= 2 * rest).groupBy("__rank").agg(
-        F.max(F.struct("draw", "tie")).alias("last"))
-    return level.join(last, "__rank", "left").select("__of", "source_size", "target", "whole", "last")
+        F.max(F.struct("draw", "tie", taken.alias("taken"), "copies")).alias("l"))
+    return level.join(last, "__rank", "left").select(
+        "__of", "__rank", "source_size", "target", "whole", F.struct("l.draw", "l.tie").alias("last"), "l.taken", "l.copies")
 
 
 SOURCES_BROADCAST = 50_000
@@ -102,8 +108,20 @@ def _timed(docs: DataFrame, keys: list[str], **options) -> DataFrame:
     picked = {"text": "text", "source": "source", "seed": 17} | {k: v for k, v in options.items() if k in ("text", "source", "seed")}
     rows = _sized(docs, keys, **picked)
     joined = rows.join(F.broadcast(level) if few else level, F.col("__source").eqNullSafe(F.col("__of")))
-    extra = F.coalesce(F.col("__place") <= F.col("last"), F.lit(False))
-    return joined.withColumn("__times", F.col("whole") + extra.cast("long"))
+    extra = F.col("taken").isNotNull() & (F.col("__place") <= F.col("last"))
+    if level.where("taken < copies").isEmpty():
+        return joined.withColumn("__times", F.col("whole") + extra.cast("long"))
+    # of the equal rows that come last only some have room: they get numbers, task by task
+    partly = F.coalesce((F.col("__place") == F.col("last")) & (F.col("taken") < F.col("copies")), F.lit(False))
+    tied = checkpointed(joined.where(partly).withColumn("__part", F.spark_partition_id()))
+    along = Window.partitionBy("__rank").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = tied.groupBy("__rank", "__part").agg(F.count("*").alias("__n")).select(
+        "__rank", "__part", F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__sofar"))
+    inside = F.row_number().over(Window.partitionBy("__rank", "__part").orderBy("__size"))
+    numbered = tied.withColumn("__number", inside).join(before, ["__rank", "__part"]).withColumn(
+        "__times", F.col("whole") + (F.col("__sofar") + F.col("__number") <= F.col("taken")).cast("long"))
+    rest = joined.where(~partly).withColumn("__times", F.col("whole") + extra.cast("long"))
+    return rest.unionByName(numbered.select(*rest.columns))
 
 
 def mixed(docs: DataFrame, keys: list[str], **options) -> DataFrame:

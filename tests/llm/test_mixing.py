@@ -61,3 +61,18 @@ def test_empty_nothing_to_say_and_equal_rows(spark):
     assert {(r.size, r.target) for r in got} == {(0, 0.0)}
     same = mixing.mixed(docs(spark, [(None, "a b", "s", 1, "")] * 4), ["doc_id"]).collect()
     assert sum(r.times for r in same) == 4
+
+
+def test_equal_rows_are_taken_up_to_the_target(spark):
+    """A hundred equal rows and others: the target lies in the middle of the equal ones."""
+    rows = [(None, "a b c d e f g h i j", "s", 1, "")] * 100 + [(i, "w " * 37, "t", 1, "") for i in range(30)] + [(7, "x " * 5, "u", 1, "")] * 40
+    df = docs(spark, rows).repartition(5)
+    got = mixing.mixed(df, ["doc_id"]).collect()
+    sizes = {"s": 1000, "t": 1110, "u": 200}
+    want, taken = brute_targets(sizes), {}
+    for r in got:
+        taken[r.source_size] = taken.get(r.source_size, 0) + r.times * r.size
+        assert 0 <= r.times <= 3
+    for s, largest in (("s", 10), ("t", 37), ("u", 5)):
+        assert abs(taken[sizes[s]] - want[s]) <= largest / 2 + 1, (s, taken, want)
+    assert mixing.repeated(df, ["doc_id"]).count() == sum(r.times for r in got)
