@@ -320,9 +320,10 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts the ids of the best segmentations one after the other, how many each has, their
         scores, and what the next best of each loses (infinite if there is no other)."""
-        return self._encoded(self._parts(texts)[0])
+        return self._encoded(self._parts(texts)[0])[:4]
 
-    def _encoded(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _encoded(self, lists: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+        """The same of solved parts; then the first part of each text, where each part's ids begin, and what it loses."""
         parts = [p for found in lists for p in found]
         words = np.frombuffer(b"".join(parts), np.int32)
         heads = np.cumsum([0, *map(len, parts)])[:-1] >> 2
@@ -336,32 +337,29 @@ class Encoder:
         if len(full):
             score[full] = np.add.reduceat(self.vocabulary.score_of_id[ids], offsets[full])
             loss[full] = np.minimum.reduceat(words[heads].view(np.float32), edges[full])
-        return ids, np.diff(offsets), score, loss
+        starts = np.append(heads, len(words)) - np.arange(len(heads) + 1)
+        return ids, np.diff(offsets), score, loss, edges, starts, words[heads].view(np.float32)
 
-    def ranked_all(self, texts: list[str], count: int) -> tuple[tuple, list[list[tuple[float, np.ndarray]]]]:
-        """What `encode_all` gives, and of each text the next best segmentations up to ``count`` in all, (score, ids).
+    def ranked_all(self, texts: list[str], count: int) -> tuple[tuple, list[list[tuple[float, np.ndarray, bool]]]]:
+        """What `encode_all` gives, and of each text the next best segmentations up to ``count`` in all: score, ids, and
+        whether what was changed decodes to the same.
 
         They differ from the best one only in those parts that are among the ``count`` - 1 in which the next best
         loses least; these parts are searched by A-star for their own ``count`` best.
         """
         found, lists, simple = self._parts(texts)
-        best = self._encoded(found)
-        ids, sizes, scores, _ = best
-        ends = np.cumsum(sizes)
-        return best, [
-            self._others(parts, names, words, ids[end - size:end], float(score), count) if parts else []
-            for parts, names, words, size, end, score in zip(found, lists, simple, sizes, ends, scores)]
-
-    def _others(self, parts, names, words, ids, score, count) -> list[tuple[float, np.ndarray]]:
-        loss = [array("f", p[:4])[0] for p in parts]
-        near = sorted(heapq.nsmallest(count - 1, (k for k in range(len(parts)) if loss[k] < math.inf), key=lambda k: (loss[k], k)))
-        if not near:
-            return []
-        places = np.cumsum([0, *[len(p) // 4 - 1 for p in parts]])
+        *best, edges, starts, losses = self._encoded(found)
+        return tuple(best), [
+            self._others(best[0], starts[a:b + 1], losses[a:b], names, words, float(score), count) if a < b else []
+            for a, b, names, words, score in zip(edges, edges[1:], lists, simple, best[2])]
+
+    def _others(self, ids, starts, losses, names, words, score, count) -> list[tuple[float, np.ndarray, bool]]:
+        """The next best of a text whose parts begin at ``starts`` in ``ids``, with what the next best of each loses."""
+        near = np.argsort(losses, kind="stable")[:count - 1] if count > 2 else np.array([int(np.argmin(losses))])
         # changes of parts, each (score lost, its place, the new ids); none of them is the best itself
         out: list[tuple[float, tuple]] = [(0.0, ())]
-        for k in near:
-            own = ids[places[k]:places[k + 1]].tolist()
+        for k in sorted(near[np.isfinite(losses[near])].tolist()):
+            own = ids[starts[k]:starts[k + 1]].tolist()
             had = float(self.vocabulary.score_of_id[own].sum())
             options = [(had - s, (k, new)) for s, new in self._options(names[k], words, count + 1) if new != own][:count - 1]
             out = heapq.nsmallest(count, [*out, *[(lost + more, (*done, change)) for lost, done in out for more, change in options]],
@@ -369,11 +367,13 @@ class Encoder:
         made = []
         for lost, changes in out:
             if changes:
-                pieces, at = [], 0
+                pieces, at, same = [], starts[0], True
                 for k, new in changes:
-                    pieces += [ids[at:places[k]], np.array(new, np.int32)]
-                    at = places[k + 1]
-                made.append((score - lost, np.concatenate([*pieces, ids[at:]])))
+                    pieces += [ids[at:starts[k]], np.array(new, np.int32)]
+                    at = starts[k + 1]
+                    # parts hold whole characters, so a text comes back if its parts do
+                    same = same and decode([0, *new], self.vocabulary) == decode([0, *ids[starts[k]:at].tolist()], self.vocabulary)
+                made.append((score - lost, np.concatenate([*pieces, ids[at:starts[-1]]]), same))
         return made[:count - 1]
 
     def _options(self, name: str, word: bool, count: int) -> list[tuple[float, list[int]]]:
@@ -466,14 +466,14 @@ def encoded(
             if more is not None:
                 flat = [o for found in more for o in found]
                 lists = pa.ListArray.from_arrays(
-                    pa.array(np.cumsum([0, *[len(i) for _, i in flat]]).astype(np.int32)),
-                    pa.array(np.concatenate([i for _, i in flat]) if flat else np.zeros(0, np.int32), pa.int32()))
-                each = pa.StructArray.from_arrays([lists, pa.array([s for s, _ in flat], pa.float64())], names=["ids", "score"])
+                    pa.array(np.cumsum([0, *[len(i) for _, i, _ in flat]]).astype(np.int32)),
+                    pa.array(np.concatenate([i for _, i, _ in flat]) if flat else np.zeros(0, np.int32), pa.int32()))
+                each = pa.StructArray.from_arrays([lists, pa.array([s for s, _, _ in flat], pa.float64())], names=["ids", "score"])
                 out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, more)]).astype(np.int32)), each))
             if verify:
                 same = [decode(ids[a:b].tolist(), own.vocabulary) == t for a, b, t in zip(offsets, offsets[1:], texts)]
                 if more is not None:
-                    same = [ok and all(decode(i.tolist(), own.vocabulary) == t for _, i in found) for ok, found, t in zip(same, more, texts)]
+                    same = [ok and all(kept for _, _, kept in found) for ok, found in zip(same, more)]
                 out.append(same)
             return out
         return work
