@@ -6,7 +6,8 @@ for what is left to a search that walks back from the end, so an A-star search
 yields the N best segmentations one after the other without a wasted step.
 
 The lattice falls into independent blocks where no piece of the vocabulary spans
-the border: before blanks, after words that signs follow, around line ends. Equal blocks are solved once in a task, and the N best of a text follow
+the border: before blanks, after words that signs follow, around line ends. A batch is taken apart into its different
+words; the blocks of those that are not known of late are one lattice of many lines, and the N best of a text follow
 from those of its blocks. A score is the sum over pieces; a vocabulary with
 merge ranks in place of log probabilities is read as Zipf's law (minus the
 logarithm of the rank). Characters outside the vocabulary become byte pieces.
@@ -26,13 +27,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from kinetable.llm.common import map_texts
+from kinetable.llm.common import map_texts, utf8
 
 BLANK = "▁"
 MEMO = 60_000
+_WORDS = re.compile(" ( *[^ ]*)")
 _NONE = array("f", [math.inf]).tobytes()
 
 
@@ -77,28 +80,39 @@ class Vocabulary:
 
         self.of_id = {i: b for b, i in self.bytes.items()}
         self.plain = [None if i in self.of_id else p.replace(BLANK, " ") for i, p in enumerate(self.pieces)]
+        self.raw = pa.array([bytes([self.of_id[i]]) if p is None else utf8(p) for i, p in enumerate(self.plain)], pa.binary())
+        self.spelled = np.zeros(0x110000, bool)
+        self.spelled[[ord(c) for c in self.chars]] = True
 
     def _number_states(self) -> None:
         """The tree once more, for whole arrays: an open hash table from state and character to state."""
-        self.slots = 1 << 20
-        keys, values, piece_of = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int32), [-1]
-        todo = [(0, self.tree)]
+        own, piece_of, todo = [], [-1], [(0, self.tree)]
         while todo:
             state, node = todo.pop()
             for char, (below, edge) in node.items():
-                key = state << 21 | ord(char)
-                slot = _slot(key)
-                while keys[slot] != -1:
-                    slot = (slot + 1) % self.slots
-                keys[slot], values[slot] = key, len(piece_of)
+                own.append(state << 21 | ord(char))
                 todo.append((len(piece_of), below))
                 piece_of.append(edge[1][0] if edge else -1)
-        self.keys, self.values, self.piece_of = keys, values, np.array(piece_of, np.int32)
+        # a quarter full at most, and no larger than it must be: it is to stay in the processor's cache
+        self.bits = max(10, (4 * len(own)).bit_length())
+        self.slots = 1 << self.bits
+        self.keys, self.values = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int32)
+        for value, key in enumerate(own, 1):
+            slot = (key * _FACTOR & (1 << 64) - 1) >> (64 - self.bits)
+            while self.keys[slot] != -1:
+                slot = (slot + 1) % self.slots
+            self.keys[slot], self.values[slot] = key, value
+        self.piece_of = np.array(piece_of, np.int32)
+        # states after the first character; the beginning, where no piece ends, for characters without a piece
+        self.first = np.zeros(0x110000, np.int32)
+        for value, key in enumerate(own, 1):
+            if key >> 21 == 0:
+                self.first[key] = value
 
     def step(self, state: np.ndarray, points: np.ndarray) -> np.ndarray:
         """States after one more character each; -1 where no piece goes on."""
         key = state.astype(np.int64) << 21 | points
-        slot = ((key.view(np.uint64) * np.uint64(_FACTOR)) >> np.uint64(44)).astype(np.int64)
+        slot = ((key.view(np.uint64) * np.uint64(_FACTOR)) >> np.uint64(64 - self.bits)).astype(np.int64)
         out = np.full(len(key), -1, np.int32)
         open_ = np.arange(len(key))
         while len(open_):
@@ -113,13 +127,11 @@ class Vocabulary:
 _FACTOR = 0x9E3779B97F4A7C15
 
 
-def _slot(key: int) -> int:
-    return (key * _FACTOR & (1 << 64) - 1) >> 44
-
-
-def solve_all(blocks: list[str], vocabulary: Vocabulary) -> list[bytes]:
-    """Best segmentation of many different blocks at once, and what the next best of each loses.
+def solve_all(points: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best segmentation of many blocks at once: ids one block after the other, how many each has, and what the next
+    best of each loses.
 
+    ``points`` are the characters of all blocks, ``sizes`` how many each has.
     All blocks are one lattice of many lines. Forward, node by node along them,
     the best scores; then each line is walked back from its end. The frontier
     that A-star has when it reaches the beginning are the edges that the best
@@ -128,61 +140,74 @@ def solve_all(blocks: list[str], vocabulary: Vocabulary) -> list[bytes]:
     All characters must be in the vocabulary.
     """
     v = vocabulary
-    sizes = np.array([len(b) for b in blocks])
-    points = np.frombuffer("".join(blocks).encode("utf-32-le"), np.uint32).astype(np.int64)
-    line = np.repeat(np.arange(len(blocks)), sizes)
-    stop = np.cumsum(sizes)[line]
-    at, state, found = np.arange(len(points)), np.zeros(len(points), np.int32), []
-    depth = 0
+    sizes = sizes.astype(np.int32)
+    # a line has a node more than characters
+    ends = np.cumsum(sizes + 1, dtype=np.int32) - 1
+    first = ends - sizes
+    lines = np.arange(len(sizes), dtype=np.int32)
+    line = np.repeat(lines, sizes)
+    node_of = np.arange(len(points), dtype=np.int32) + line
+    left = np.repeat(ends, sizes) - node_of
+    at, state, found = np.arange(len(points), dtype=np.int32), v.first[points], []
+    depth = 1
     while len(at):
-        state = v.step(state, points[at + depth])
-        depth += 1
-        at, state = at[state >= 0], state[state >= 0]
         piece = v.piece_of[state]
-        whole = piece >= 0
-        found.append((at[whole], np.full(int(whole.sum()), depth), piece[whole]))
-        going = at + depth < stop[at]
+        whole = np.flatnonzero(piece >= 0)
+        found.append((node_of[at[whole]], np.full(len(whole), depth, np.int32), piece[whole]))
+        going = np.flatnonzero(left[at] > depth)
+        at = at[going]
+        state = v.step(state[going], points[at + depth])
+        depth += 1
+        going = np.flatnonzero(state >= 0)
         at, state = at[going], state[going]
-    begin, width, piece = (np.concatenate(x) for x in zip(*found))
-    # a line has a node more than characters
-    own = line[begin]
-    first = np.concatenate(([0], np.cumsum(sizes)[:-1])) + np.arange(len(blocks))
-    source, target = begin + own, begin + own + width
-    along = target - first[own]
-    order = np.argsort(along.astype(np.uint16), kind="stable")
-    source, target, piece, own, along = (x[order] for x in (source, target, piece, own, along))
+    source, width, piece = (np.concatenate(x) for x in zip(*found))
+    target = source + width
+    line_of = np.repeat(lines, sizes + 1)
+    along = (target - first[line_of[source]]).astype(np.uint16)
+    order = np.argsort(along, kind="stable")
+    source, target, piece = source[order], target[order], piece[order]
     score = v.score_of_id[piece]
 
-    best = np.full(len(points) + len(blocks), -np.inf)
-    chosen = np.zeros(len(best), np.int64)
+    best = np.full(len(points) + len(sizes), -np.inf)
+    chosen = np.zeros(len(best), np.int32)
     best[first] = 0.0
-    steps = np.searchsorted(along, np.arange(1, int(sizes.max()) + 2))
-    for low, high in zip(steps, steps[1:]):
+    steps = np.concatenate(([0], np.cumsum(np.bincount(along)))).tolist()
+    for low, high in zip(steps[1:], steps[2:]):
         value, node = best[source[low:high]] + score[low:high], target[low:high]
         np.maximum.at(best, node, value)
         top = np.flatnonzero(value == best[node])
         chosen[node[top]] = low + top
 
     behind = np.full(len(best), np.nan)
-    ends = first + sizes
     behind[ends] = 0.0
-    node, lines, walked = ends, np.arange(len(blocks)), []
+    node, on, walked = ends, lines, []
     while len(node):
         edge = chosen[node]
-        walked.append((lines, piece[edge]))
+        walked.append((on, piece[edge]))
         behind[source[edge]] = behind[node] + score[edge]
         node = source[edge]
-        going = node != first[lines]
-        node, lines = node[going], lines[going]
-    passed = ~np.isnan(behind[target]) & (chosen[target] != np.arange(len(target)))
-    next_best = np.full(len(blocks), -np.inf)
-    np.maximum.at(next_best, own[passed], (behind[target] + score + best[source])[passed])
+        going = np.flatnonzero(node != first[on])
+        node, on = node[going], on[going]
+    passed = ~np.isnan(behind)[target]
+    passed[chosen[ends]] = False
+    passed = np.flatnonzero(passed)
+    passed = passed[chosen[target[passed]] != passed]
+    next_best = np.full(len(sizes), -np.inf)
+    np.maximum.at(next_best, line_of[source[passed]], behind[target[passed]] + score[passed] + best[source[passed]])
     loss = (best[ends] - next_best).astype(np.float32)
 
-    lines = np.concatenate([np.arange(len(blocks)), *[x for x, _ in walked[::-1]]])
-    words = np.concatenate([loss.view(np.int32), *[x for _, x in walked[::-1]]]).astype(np.int32)
-    raw = words[np.argsort(lines, kind="stable")].tobytes()
-    cuts = (4 * np.concatenate(([0], np.cumsum(np.bincount(lines))))).tolist()
+    on = np.concatenate([x for x, _ in walked[::-1]])
+    ids = np.concatenate([x for _, x in walked[::-1]])[np.argsort(on, kind="stable")]
+    return ids, np.bincount(on), loss
+
+
+def _parted(ids: np.ndarray, counts: np.ndarray, loss: np.ndarray) -> list[bytes]:
+    """Solved parts as bytes: what the next best loses, and the ids."""
+    cuts = np.concatenate(([0], np.cumsum(counts + 1)))
+    words, body = np.empty(cuts[-1], np.int32), np.ones(cuts[-1], bool)
+    body[cuts[:-1]] = False
+    words[cuts[:-1]], words[body] = loss.view(np.int32), ids
+    raw, cuts = words.tobytes(), (4 * cuts).tolist()
     return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
@@ -269,7 +294,8 @@ class Encoder:
         unknown = [b for b in wanted if b not in known]
         plain = [b for b in unknown if len(b) <= 256 and inside(b)]
         if plain:
-            known.update(zip(plain, solve_all(plain, self.vocabulary)))
+            points = np.frombuffer("".join(plain).encode("utf-32-le"), np.uint32)
+            known.update(zip(plain, _parted(*solve_all(points, np.array([len(b) for b in plain]), self.vocabulary))))
         for block in unknown:
             if block not in known:
                 known[block] = self._spelled(block)
@@ -278,18 +304,47 @@ class Encoder:
         self.memo.update((b, part) for b, part in known.items() if len(b) <= 64)
         return known
 
-    def solve_words(self, wanted: list[str]) -> dict[str, bytes]:
-        """The same for words, each with the blank before it."""
-        older, split = self.older[0].get, self.vocabulary.blocks.findall
-        known = {w: part for w in wanted if (part := older(w)) is not None}
-        cut = {w: split(BLANK + w) for w in wanted if w not in known}
-        parts = self.solve(list({b for blocks in cut.values() for b in blocks}))
-        for word, blocks in cut.items():
-            known[word] = parts[blocks[0]] if len(blocks) == 1 else _joined([parts[b] for b in blocks])
-        if len(self.words) + len(known) > MEMO:
+    def solve_words(self, wanted: list[str]) -> list[bytes]:
+        """Parts of different words, each with the blank before it (blanks that a word begins with are more of these);
+        all that are not known are solved together."""
+        found = list(map(self.words.get, wanted))
+        fresh = [k for k, part in enumerate(found) if part is None]
+        older, unknown = self.older[0].get, []
+        for k in fresh:
+            part = found[k] = older(wanted[k])
+            if part is None:
+                unknown.append(k)
+        if unknown:
+            for k, part in zip(unknown, self._solved([wanted[k] for k in unknown])):
+                found[k] = part
+        if len(self.words) + len(fresh) > MEMO:
             self.older, self.words = (self.words, self.older[1]), {}
-        self.words.update((w, part) for w, part in known.items() if len(w) <= 64)
-        return known
+        self.words.update([(w, found[k]) for k in fresh if len(w := wanted[k]) <= 64])
+        return found
+
+    def _solved(self, words: list[str]) -> list[bytes]:
+        """The same for unknown ones: their blocks are lines of one lattice. Those that are blank, very long or have
+        characters outside the vocabulary go by themselves."""
+        sizes = np.array([*map(len, words)]) + 1
+        text = (BLANK + BLANK.join(words)).replace(" ", BLANK)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(sizes)
+        whole = np.logical_and.reduceat(self.vocabulary.spelled[points], ends - sizes) & (points[ends - 1] != ord(BLANK)) & (sizes <= 256)
+        out, split, rest = [], self.vocabulary.blocks.findall, {}
+        if not whole.all():
+            points, sizes = points[np.repeat(whole, sizes)], sizes[whole]
+            text = points.tobytes().decode("utf-32-le")
+            rest = {k: split(BLANK + words[k].replace(" ", BLANK)) for k in np.flatnonzero(~whole).tolist()}
+        if text:
+            widths = np.array([*map(len, split(text))])
+            ids, counts, loss = solve_all(points, widths, self.vocabulary)
+            # blocks end where words do, as the next word's blank begins another
+            begins = np.searchsorted(np.cumsum(widths) - widths, np.cumsum(sizes) - sizes)
+            out = _parted(ids, np.add.reduceat(counts, begins), np.minimum.reduceat(loss, begins))
+        if not rest:
+            return out
+        known, lines = self.solve(list({b for blocks in rest.values() for b in blocks})), iter(out)
+        return [_joined([known[b] for b in rest[k]]) if k in rest else next(lines) for k in range(len(words))]
 
     def blocks(self, text: str) -> list[str | None]:
         """Blocks of a text. Its blanks become the vocabulary's blank sign, with one more in front;
@@ -302,43 +357,57 @@ class Encoder:
             out += [None] * (k > 0) + split((BLANK if not k else "") + run.replace(" ", BLANK))
         return out
 
-    def _parts(self, texts: list[str]) -> tuple[list[list[bytes]], list[list[str | None]], list[bool]]:
-        """Solved parts of each text, what they are parts of, and whether these are words (blocks if blanks stand
-        side by side)."""
-        simple = [bool(t) and "  " not in t and t[0] != " " and BLANK not in t for t in texts]
-        lists = [t.split(" ") if s else self.blocks(t) if t else [] for t, s in zip(texts, simple)]
-        word = self.words.get
-        found = [[word(w) for w in ws] if s else ws for ws, s in zip(lists, simple)]
-        missing = {w for ws, ps, s in zip(lists, found, simple) if s and None in ps for w, p in zip(ws, ps) if p is None}
-        known = self.solve_words(list(missing)) if missing else {}
-        blocks = {b for bs, s in zip(lists, simple) if not s for b in bs if b is not None}
-        other = {**(self.solve(list(blocks)) if blocks else {}), None: self.literal}
-        return [
-            [other[b] for b in ws] if not s else [p or known[w] for w, p in zip(ws, ps)] if None in ps else ps
-            for ws, ps, s in zip(lists, found, simple)], lists, simple
+    def _parts(self, texts: list[str]) -> tuple[list[bytes], list[str | None], int, np.ndarray, np.ndarray]:
+        """Solved parts, each once; what they are parts of, and how many of these are words (the others are blocks of texts
+        with the blank sign in them); the parts that the texts have, one text after the other; how many each has."""
+        # words between single blanks, words after several blanks, and blocks
+        kind = np.array([2 if not t or BLANK in t else int("  " in t or t[0] == " ") for t in texts], np.int8)
+        several = [_WORDS.findall(" " + t) for t, k in zip(texts, kind) if k == 1]
+        try:
+            split = pc.split_pattern(pa.array([t for t, k in zip(texts, kind) if k == 0], pa.string()), " ")
+            words = pa.concat_arrays([split.flatten(), pa.array([w for ws in several for w in ws], pa.string())])
+        except UnicodeEncodeError:  # half of a surrogate pair; such texts go block by block
+            kind, several = np.full(len(texts), 2, np.int8), []
+            split, words = pa.array([], pa.list_(pa.string())), pa.array([], pa.string())
+        coded = words.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        parts, number, own = self.solve_words(names), len(names), coded.indices.to_numpy()
+        counts = np.zeros(len(texts), np.int64)
+        counts[kind == 0] = pc.list_value_length(split).to_numpy()
+        if kind.any():
+            lists = [self.blocks(t) if t else [] for t, k in zip(texts, kind) if k == 2]
+            counts[kind == 1], counts[kind == 2] = [*map(len, several)], [*map(len, lists)]
+            place = {b: k for k, b in enumerate(dict.fromkeys(b for bs in lists for b in bs), number)}
+            solved = {**self.solve([b for b in place if b is not None]), None: self.literal}
+            names, parts = [*names, *place], [*parts, *[solved[b] for b in place]]
+            of = np.argsort(np.repeat(kind, counts), kind="stable")
+            every = np.zeros(len(of), np.int64)
+            every[of] = np.concatenate((own, np.array([place[b] for bs in lists for b in bs], np.int64)))
+            own = every
+        return parts, names, number, own, counts
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts the ids of the best segmentations one after the other, how many each has, their
         scores, and what the next best of each loses (infinite if there is no other)."""
-        return self._encoded(self._parts(texts)[0])[:4]
+        parts, _, _, own, counts = self._parts(texts)
+        return self._encoded(parts, own, counts)[:4]
 
-    def _encoded(self, lists: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+    def _encoded(self, parts: list[bytes], own: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
         """The same of solved parts; then the first part of each text, where each part's ids begin, and what it loses."""
-        parts = [p for found in lists for p in found]
         words = np.frombuffer(b"".join(parts), np.int32)
-        heads = np.cumsum([0, *map(len, parts)])[:-1] >> 2
-        body = np.ones(len(words), bool)
-        body[heads] = False
-        ids = words[body]
-        edges = np.cumsum([0, *map(len, lists)])
-        offsets = np.append(heads, len(words))[edges] - edges
-        full = np.flatnonzero(np.diff(edges))
-        score, loss = np.zeros(len(lists)), np.full(len(lists), np.inf)
+        ends = np.cumsum([0, *map(len, parts)]) >> 2
+        heads, sizes = ends[:-1][own], np.diff(ends)[own] - 1
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        ids = words[np.repeat(heads + 1 - starts[:-1], sizes) + np.arange(starts[-1])]
+        losses = words[heads].view(np.float32)
+        edges = np.concatenate(([0], np.cumsum(counts)))
+        offsets = starts[edges]
+        full = np.flatnonzero(counts)
+        score, loss = np.zeros(len(counts)), np.full(len(counts), np.inf)
         if len(full):
             score[full] = np.add.reduceat(self.vocabulary.score_of_id[ids], offsets[full])
-            loss[full] = np.minimum.reduceat(words[heads].view(np.float32), edges[full])
-        starts = np.append(heads, len(words)) - np.arange(len(heads) + 1)
-        return ids, np.diff(offsets), score, loss, edges, starts, words[heads].view(np.float32)
+            loss[full] = np.minimum.reduceat(losses, edges[full])
+        return ids, np.diff(offsets), score, loss, edges, starts, losses
 
     def ranked_all(self, texts: list[str], count: int) -> tuple[tuple, list[list[tuple[float, np.ndarray, bool]]]]:
         """What `encode_all` gives, and of each text the next best segmentations up to ``count`` in all: score, ids, and
@@ -347,21 +416,24 @@ class Encoder:
         They differ from the best one only in those parts that are among the ``count`` - 1 in which the next best
         loses least; these parts are searched by A-star for their own ``count`` best.
         """
-        found, lists, simple = self._parts(texts)
-        *best, edges, starts, losses = self._encoded(found)
+        parts, names, number, own, counts = self._parts(texts)
+        *best, edges, starts, losses = self._encoded(parts, own, counts)
+        edges = edges.tolist()
         return tuple(best), [
-            self._others(best[0], starts[a:b + 1], losses[a:b], names, words, float(score), count) if a < b else []
-            for a, b, names, words, score in zip(edges, edges[1:], lists, simple, best[2])]
+            self._others(best[0], starts[a:b + 1], losses[a:b], own[a:b], names, number, score, count) if a < b else []
+            for a, b, score in zip(edges, edges[1:], best[2].tolist())]
 
-    def _others(self, ids, starts, losses, names, words, score, count) -> list[tuple[float, np.ndarray, bool]]:
-        """The next best of a text whose parts begin at ``starts`` in ``ids``, with what the next best of each loses."""
+    def _others(self, ids, starts, losses, own, names, number, score, count) -> list[tuple[float, np.ndarray, bool]]:
+        """The next best of a text whose parts begin at ``starts`` in ``ids``, with what the next best of each loses; parts
+        are ``own`` of ``names``, of which the first ``number`` are words."""
         near = np.argsort(losses, kind="stable")[:count - 1] if count > 2 else np.array([int(np.argmin(losses))])
         # changes of parts, each (score lost, its place, the new ids); none of them is the best itself
         out: list[tuple[float, tuple]] = [(0.0, ())]
         for k in sorted(near[np.isfinite(losses[near])].tolist()):
-            own = ids[starts[k]:starts[k + 1]].tolist()
-            had = float(self.vocabulary.score_of_id[own].sum())
-            options = [(had - s, (k, new)) for s, new in self._options(names[k], words, count + 1) if new != own][:count - 1]
+            now = ids[starts[k]:starts[k + 1]].tolist()
+            had = float(self.vocabulary.score_of_id[now].sum())
+            found = self._options(names[own[k]], bool(own[k] < number), count + 1)
+            options = [(had - s, (k, new)) for s, new in found if new != now][:count - 1]
             out = heapq.nsmallest(count, [*out, *[(lost + more, (*done, change)) for lost, done in out for more, change in options]],
                                   key=lambda x: x[0])
         made = []
@@ -439,6 +511,24 @@ def decode(ids, vocabulary: Vocabulary) -> str:
     return "".join(out)[1:]
 
 
+def decode_all(ids: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> pa.Array:
+    """The same of many texts, whose pieces end at the ``offsets`` after the first; in bytes, the blank in front included."""
+    pieces = vocabulary.raw.take(pa.array(ids, pa.int32()))
+    _, ends, data = pieces.buffers()
+    # an array without rows may have no buffers
+    places = np.frombuffer(ends, np.int32)[:len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+    return pa.Array.from_buffers(
+        pa.binary(), len(offsets) - 1, [None, pa.py_buffer(places[offsets].astype(np.int32)), data or pa.py_buffer(b"")])
+
+
+def given_back(ids: np.ndarray, offsets: np.ndarray, texts: list[str], vocabulary: Vocabulary) -> list[bool]:
+    """Whether the pieces of each text decode to it."""
+    wanted = pa.array([utf8(" " + t) if t else b"" for t in texts], pa.binary())
+    made = decode_all(ids, offsets, vocabulary)
+    # the blank in front is spelled in bytes where the vocabulary has none
+    return [same or made[k].as_py() == utf8(BLANK + texts[k]) for k, same in enumerate(pc.equal(made, wanted).to_pylist())]
+
+
 def encoded(
     docs: DataFrame, keys: list[str], *, path: str, text: str = "text", verify: bool = False, count: int = 1,
 ) -> DataFrame:
@@ -471,7 +561,7 @@ def encoded(
                 each = pa.StructArray.from_arrays([lists, pa.array([s for s, _, _ in flat], pa.float64())], names=["ids", "score"])
                 out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, more)]).astype(np.int32)), each))
             if verify:
-                same = [decode(ids[a:b].tolist(), own.vocabulary) == t for a, b, t in zip(offsets, offsets[1:], texts)]
+                same = given_back(ids, offsets, texts, own.vocabulary)
                 if more is not None:
                     same = [ok and all(kept for _, _, kept in found) for ok, found in zip(same, more)]
                 out.append(same)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import sys
 
 import sentencepiece
 
@@ -97,3 +98,71 @@ def test_others_column(spark):
         assert scores == sorted(scores, reverse=True) and len(r.others) == (2 if r.doc_id in (1, 4) else 0)
         assert not r.others or abs(r.score - r.others[0].score - r.margin) < 1e-3
     assert pieces.encoded(df.limit(0), ["doc_id"], path=VOCABULARY_FILE, count=2).count() == 0
+
+
+def test_pieces_of_a_batch_are_decoded_at_once():
+    own = pieces.encoder(VOCABULARY_FILE)
+    for texts in (TEXTS, ["", *TEXTS, "", "a  b", "a b "], [""], []):
+        ids, sizes, _, _ = own.encode_all(texts)
+        offsets = [0, *sizes.cumsum().tolist()]
+        assert pieces.given_back(ids, offsets, texts, own.vocabulary) == [True] * len(texts)
+        # a piece that is not the text's
+        for k, text in enumerate(texts):
+            if text:
+                wrong = ids.copy()
+                wrong[offsets[k + 1] - 1] = own.vocabulary.ids["z"]
+                want = [j != k for j in range(len(texts))]
+                assert pieces.given_back(wrong, offsets, texts, own.vocabulary) == want
+    assert pieces.given_back(ids, [0, 0], ["x"], own.vocabulary) == [False]
+
+
+def test_words_in_a_batch_are_solved_as_by_themselves():
+    draw, v = random.Random(4), pieces.encoder(VOCABULARY_FILE).vocabulary
+    words = ["".join(draw.choice("abcdetnos,.\n\té日😀\0") for _ in range(draw.randint(0, 12))) for _ in range(300)]
+    words = list(dict.fromkeys([*words, "", "a." * 200, "x" * 300, "don't", "\n", "a\n"]))
+    together = pieces.Encoder(v).solve_words(words)
+    assert together == [pieces.Encoder(v).solve_words([w])[0] for w in words]
+    own = pieces.Encoder(v)
+    for word, part in zip(words, together):
+        by_block = own.solve(list(set(v.blocks.findall("▁" + word))))
+        assert part[4:] == b"".join(by_block[b][4:] for b in v.blocks.findall("▁" + word))
+        assert part[:4] == pieces._joined([by_block[b] for b in v.blocks.findall("▁" + word)])[:4]
+    # known ones, and those of the older half
+    own = pieces.Encoder(v)
+    own.solve_words(words[:100])
+    own.older, own.words = (own.words, {}), {}
+    own.solve_words(words[50:200])
+    assert own.solve_words(words) == together
+
+
+def test_calls_for_each_new_word_are_few():
+    """Words of a batch are taken apart, looked up, solved and decoded in whole arrays."""
+    draw = random.Random(6)
+    texts = [" ".join("".join(draw.choice("abdehinorst") for _ in range(draw.randint(3, 12))) + draw.choice(("", "", ",", "%%"))
+                      for _ in range(400)) for _ in range(10)]
+    for batch in (texts, ["  " + t.replace(" ", "  ") + "  " for t in texts]):
+        own, calls = pieces.Encoder(pieces.encoder(VOCABULARY_FILE).vocabulary), [0]
+
+        def seen(frame, event, arg):
+            calls[0] += event in ("call", "c_call")
+
+        sys.setprofile(seen)
+        try:
+            own.ranked_all(batch, 2)
+        finally:
+            sys.setprofile(None)
+        assert calls[0] < 8 * sum(len(set(t.split())) for t in texts)
+
+
+def test_runs_of_blanks_belong_to_the_next_word():
+    own, draw = pieces.encoder(VOCABULARY_FILE), random.Random(8)
+    texts = ["".join(draw.choice("abet   ,.\né▁") for _ in range(draw.randint(0, 50))) for _ in range(150)]
+    texts += [" ", "  ", "   a", "a   ", " a  b ", "\n  \n", "\udc80  a", *TEXTS]
+    ids, sizes, score, loss = own.encode_all(texts)
+    ends = sizes.cumsum()
+    for k, text in enumerate(texts):
+        by_block = [own.literal if b is None else own.solve([b])[b] for b in own.blocks(text)] if text else []
+        assert ids[ends[k] - sizes[k]:ends[k]].tobytes() == b"".join(p[4:] for p in by_block), text
+        assert not by_block or pieces.np.float32(loss[k]).tobytes() == pieces._joined(by_block)[:4]
+        assert own.encode_all([text])[0].tolist() == ids[ends[k] - sizes[k]:ends[k]].tolist()
+    assert pieces.given_back(ids, [0, *ends.tolist()], texts, own.vocabulary) == [True] * len(texts)
