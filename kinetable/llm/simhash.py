@@ -101,7 +101,8 @@ def links(prints: DataFrame, *, bits: int = 4, blocks: int = 7, crowd: int = 64)
     keyed = prints.select("fingerprint", F.posexplode(F.lit(masks)).alias("choice", "mask")).select(
         "choice", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("key"), "fingerprint")
     met = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = checkpointed(keyed.join(met, ["choice", "key"]))
+    # Spark takes the keys for as small as the fingerprints they come from, and would broadcast them all
+    shared = checkpointed(keyed.join(met.hint("merge"), ["choice", "key"]))
 
     few = shared.where(F.col("n") <= crowd)
     one = few.select("choice", "key", F.col("fingerprint").alias("a"))

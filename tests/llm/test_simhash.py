@@ -5,8 +5,10 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from kinetable.llm import components, simhash
+from kinetable.settings import checkpointed
 
 
 def brute_print(text, size=4):
@@ -58,6 +60,21 @@ def test_links_connect_like_all_pairs(spark, crowd):
     assert {p: roots.get(p, p) for p in prints} == brute_groups(prints, 4)
 
 
+def test_keys_are_not_broadcast_for_as_small_as_their_fingerprints(spark, monkeypatch):
+    plans = []
+
+    def seen(df):
+        run = df._jdf.queryExecution()
+        run.toRdd().count()
+        plans.append(run.executedPlan().toString())
+        return checkpointed(df)
+
+    monkeypatch.setattr(simhash, "checkpointed", seen)
+    prints = spark.range(20_000).select(F.xxhash64("id").alias("fingerprint")).distinct()  # 0.3 MB, the keys 35 times as many
+    simhash.links(prints)
+    assert "Generate" in plans[0] and "isFinalPlan=true" in plans[0] and "BroadcastExchange" not in plans[0]
+
+
 def test_components_of_a_chain_and_nothing(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 7), (None, 3), (100, 90)], "a long, b long")
     got = {r.node: r.root for r in components.components(chain, "a", "b").collect()}
