@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from check import table
 from kinetable.functions.text import dataset_key
 from kinetable.operators import conversion, validation
+from kinetable.plans import folder_queries
 from kinetable.sources import catalog, datasets, files, folders, recordings, sidecar, sinks
 
 CAMERA = "observation.images.cam"
@@ -189,6 +194,30 @@ def test_recordings_and_their_progress(spark, tmp_path):
     assert {r.cell_task: (r.total, r.done) for r in progress.collect()}["cell1/pick"] == (2, 1)
 
 
+def right_with_few_on_disk(spark, tmp_path, monkeypatch, name):
+    """The query against its SQL, with 50 recordings at a time; how many were on disk at each scan."""
+    scan, counts, folder = recordings.scan_recordings, [], "/root/testdata/sf0.001"
+
+    def counted(session, roots):
+        counts.append(len(list(tmp_path.rglob("*.mcap"))))
+        return scan(session, roots)
+
+    monkeypatch.setattr(recordings, "scan_recordings", counted)
+    monkeypatch.setattr(folder_queries, "RECORDINGS_AT_ONCE", 50, raising=False)
+    monkeypatch.setattr(folder_queries, "scratch", lambda s: str(tmp_path / uuid.uuid4().hex))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet'")
+    result = db.execute(entry.oracle_sql()[name])
+    want = table([d[0] for d in result.description], result.fetchall())
+    df = entry.queries()[name](spark, folder)
+    assert table(df.columns, [tuple(r) for r in df.collect()]) == want
+    assert len(counts) == 4 and max(counts) < 100, counts
+
+
+def test_recordings_make_place_for_the_next(spark, tmp_path, monkeypatch):
+    right_with_few_on_disk(spark, tmp_path, monkeypatch, "scan_recordings")
+
+
 def test_sidecars_belong_to_datasets_by_name(spark, tmp_path):
     import hashlib
 
