@@ -218,6 +218,10 @@ def test_recordings_make_place_for_the_next(spark, tmp_path, monkeypatch):
     right_with_few_on_disk(spark, tmp_path, monkeypatch, "scan_recordings")
 
 
+def test_progress_of_recordings_that_make_place(spark, tmp_path, monkeypatch):
+    right_with_few_on_disk(spark, tmp_path, monkeypatch, "convert_progress_from_folders")
+
+
 def test_sidecars_belong_to_datasets_by_name(spark, tmp_path):
     import hashlib
 
